@@ -14,6 +14,7 @@ from paylens.operators.calendar import add_months
 from paylens.operators.invoices import INVOICE, invoice_rollup
 from paylens.operators.subscriptions import ACCOUNT, SUBSCRIPTION
 from paylens.operators.windows import in_activation_window
+from paylens.reuse import computed_once
 from paylens.sources.transactions import is_attempt
 
 GATEWAY_BIN = ("trans_gateway_type_desc", "cc_first_6_nbr")
@@ -509,11 +510,24 @@ def _parts(
     return categorized_attempts(attempts, cat, history, since, rules), cat, attempts
 
 
+# what the metrics read from a categorised attempt
+BASE_COLUMNS = (
+    *INVOICE, *GATEWAY_BIN, "transaction_guid", "trans_dt", "trans_status_desc",
+    "transaction_category", "invoice_grouper", "invoice_state_desc",
+)
+
+
+def _counted(base: DataFrame) -> DataFrame:
+    """The narrow attempt table all metrics start from, computed once."""
+    return computed_once(base.select(*BASE_COLUMNS))
+
+
 def gateway_comparison(
     txn: DataFrame, lines: DataFrame, history: DataFrame, since: dt.date
 ) -> DataFrame:
     """Monthly success of attempts and invoices by gateway and category."""
     base, cat, _ = _parts(txn, lines, history, since, BY_WINDOW, True, None)
+    base = _counted(base)
     days = combined_days(
         txn_metrics(base), invoice_metrics(invoice_facts(base, cat, paid_counts=True))
     )
@@ -525,7 +539,7 @@ def gateway_grains(
 ) -> DataFrame:
     """Side-by-side metrics at day/week/month/quarter for the busiest BINs."""
     base, cat, attempts = _parts(txn, lines, history, since, BY_WINDOW, True, None)
-    bins = top_bins(attempts, top)
+    base, bins = _counted(base), top_bins(attempts, top)
     days = combined_days(
         keep_top_bins(txn_metrics(base), bins),
         keep_top_bins(invoice_metrics(invoice_facts(base, cat, paid_counts=False)), bins),
@@ -542,7 +556,7 @@ def gateway_by_bin(
     success sees only their attempts.
     """
     base, cat, attempts = _parts(txn, lines, history, since, BY_BAND, False, since)
-    base = keep_top_bins(base, top_bins(attempts, top))
+    base = _counted(keep_top_bins(base, top_bins(attempts, top)))
     return multi_grain(
         txn_metrics(base), invoice_metrics(invoice_facts(base, cat, paid_counts=False))
     )

@@ -239,8 +239,8 @@ FROM (
        , {_case('l_suppkey % 5', ['US', 'CA', 'GB', 'DE', None])} AS country_cd
        , {_case('l_suppkey % 5', ['adyen', 'cybersource', 'adyen', 'cybersource', None])} AS trans_gateway_type_desc
        , {_case('l_suppkey % 12', _GATEWAYS)} AS gateway_cd
-       , CASE WHEN l_returnflag = 'R' THEN {_case('l_partkey % 7', ['51', '05', '14', 'velocity', 'fraud_velocity', 'api_timeout', None])} END AS gateway_error_cd
-       , CASE WHEN l_returnflag = 'R' THEN {_case('l_partkey % 4', ['soft', 'hard', 'fraud', None])} END AS failure_type
+       , CASE WHEN l_returnflag = 'R' THEN {_case('l_partkey % 7', ['51', '05', '14', '481', '54', '65', None])} END AS gateway_error_cd
+       , CASE WHEN l_returnflag = 'R' THEN {_case('l_partkey % 5', ['soft', 'fraud_gateway', 'fraud_velocity', None, 'gateway_timeout'])} END AS failure_type
        , 'Credit Card' AS payment_method_desc
        , {_case('l_suppkey % 4', ['Visa', 'MasterCard', 'Discover', 'American Express'])} AS cc_type_desc
        , CAST(400000 + l_suppkey % 10 AS VARCHAR(10)) AS cc_first_6_nbr
@@ -255,6 +255,34 @@ FROM (
 ) t"""
 
 
+def start_type_sql(d) -> str:
+    """Start type of two thirds of the subscriptions."""
+    return f"""
+SELECT concat('S', o_orderkey) AS subscription_guid, {_source_of_account('o_custkey')} AS src_system_id
+     , CASE WHEN o_orderkey % 3 = 0 THEN 'promo_start' ELSE 'gift_start' END AS overall_sub_start_type_desc
+FROM orders WHERE o_orderkey % 3 <= 1"""
+
+
+def gateway_request_sql(d) -> str:
+    """Gateway responses; the request id is the attempts' reference."""
+    return f"""
+SELECT concat('R', o_orderkey) AS requestid, 'merchant' AS merchantid
+     , {_case('o_custkey % 4', ['Visa', 'MasterCard', 'American Express', 'Discover'])} AS cardtype
+     , concat('0', o_orderkey % 7) AS issuerresponsecode
+     , CAST(o_orderkey % 2 AS INT) AS overallrcode
+     , CAST(o_orderdate AS TIMESTAMP) AS requestdate
+FROM orders"""
+
+
+def response_text_sql(d) -> str:
+    """Response texts by card brand and code."""
+    return f"""
+SELECT {_case('n_nationkey % 4', ['Visa', 'MasterCard', 'American Express', 'Discover'])} AS cardtype
+     , concat('0', n_nationkey % 7) AS issuerresponsecode
+     , concat('Do Not ', n_name) AS response_text
+FROM nation"""
+
+
 def event_txn_sql(d) -> str:
     """Hourly fixture: events as payment attempts in the historical layout."""
     return """
@@ -279,6 +307,9 @@ _VIEWS = {
     "sub": (subscription_sql, ("orders",)),
     "adj": (adjustment_sql, ("lineitem", "orders")),
     "att": (attempt_sql, ("lineitem", "orders")),
+    "starts": (start_type_sql, ("orders",)),
+    "req": (gateway_request_sql, ("orders",)),
+    "codes": (response_text_sql, ("nation",)),
     "ev": (event_txn_sql, ("events",)),
 }
 

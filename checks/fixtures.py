@@ -283,6 +283,129 @@ SELECT {_case('n_nationkey % 4', ['Visa', 'MasterCard', 'American Express', 'Dis
 FROM nation"""
 
 
+def _shifted(d) -> str:
+    return d.plus_days("CAST(o_orderdate AS DATE)", str(SHIFT_DAYS))
+
+
+def invoice_sum_sql(d) -> str:
+    """One summary row per order's first invoice."""
+    return f"""
+SELECT {_source_of_account('o_custkey')} AS src_system_id, CAST(o_custkey AS VARCHAR(40)) AS account_cd
+     , {_case('o_orderkey % 5', ['US', ' US ', None, 'IT', 'GB'])} AS country_cd
+     , concat('I', o_orderkey, '-0') AS invoice_guid, o_orderkey * 10 AS invoice_nbr
+     , 'charge' AS invoice_type_desc, 'paid' AS status_desc
+     , {_activate(d)} AS billed_dt_ut, {_activate(d)} AS closed_dt_ut
+     , CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total_amt
+     , CASE WHEN o_orderkey % 3 = 0 THEN 'nan' ELSE 'D1' END AS dunning_campaign_id
+     , CAST(date_trunc('month', {_shifted(d)}) AS DATE) AS partition_month_start_dt
+FROM orders"""
+
+
+def card_request_sql(d) -> str:
+    return f"""
+SELECT concat('Q', o_orderkey) AS requestid, concat('m', o_orderkey % 3) AS merchantid, {_activate(d)} AS requestdate
+     , CASE o_orderkey % 5 WHEN 0 THEN concat('T', lpad(CAST(o_orderkey AS VARCHAR(40)), 31, '0'))
+            WHEN 3 THEN concat('PAR', o_orderkey) WHEN 4 THEN concat('X-', o_orderkey)
+            ELSE CAST(o_orderkey * 10 AS VARCHAR(40)) END AS merchantreferencenumber
+     , CASE o_orderkey % 7 WHEN 0 THEN concat('cust', o_custkey) WHEN 1 THEN NULL ELSE CAST(o_custkey AS VARCHAR(40)) END AS customerid
+     , CASE o_orderkey % 3 WHEN 0 THEN CAST(100000000 + o_orderkey AS VARCHAR(40)) WHEN 1 THEN concat('VISA', 100000000 + o_orderkey)
+            ELSE concat('MC01 ', 100000000 + o_orderkey) END AS networktransactionid
+     , 'unused' AS transactionrefnumber
+     , CASE WHEN o_orderkey % 11 = 0 THEN CAST(1 AS DECIMAL(18,2)) WHEN o_orderkey % 13 = 0 THEN CAST(0 AS DECIMAL(18,2))
+            ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS amount
+     , CASE WHEN o_orderkey % 10 = 0 THEN 200 ELSE 100 END AS overallreasoncode
+FROM orders"""
+
+
+def card_batch_sql(d) -> str:
+    return f"""
+SELECT concat('Q', o_orderkey) AS requestid, concat('m', o_orderkey % 3) AS merchantid, {_activate(d)} AS requestdate
+     , concat('TR', o_orderkey) AS transactionrefnumber
+FROM orders WHERE o_orderkey % 2 = 0"""
+
+
+def recovery_sql(d) -> str:
+    return """
+SELECT concat('PAR', o_orderkey) AS external_reference
+     , CASE WHEN o_orderkey % 2 = 0 THEN concat('IT', o_orderkey * 10) ELSE CAST(o_orderkey * 10 AS VARCHAR(40)) END AS invoice_number
+FROM orders WHERE o_orderkey % 5 = 3"""
+
+
+_REASONS = ["Fraud - Card Absent", "No Authorization", "Chip Liability Shift", "Duplicate", "Not as described", None]
+
+
+def dispute_a_sql(d) -> str:
+    """Two dispute events per chosen order; the earlier one is the first."""
+    parts = []
+    for later in (10, 25):
+
+        def day(n):
+            return d.format_date(d.plus_days(_shifted(d), n), "M/d/yyyy", "%-m/%-d/%Y")
+
+        parts.append(
+            f"""SELECT CASE o_orderkey % 4 WHEN 0 THEN 372658052884 WHEN 1 THEN 311205465884 WHEN 2 THEN 311183520882 ELSE 999 END AS site_id_be
+     , CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE CAST(100000000 + o_orderkey AS VARCHAR(40)) END AS transaction_id
+     , {day('o_orderkey % 5 - 1')} AS txn_date, {day(str(later))} AS received_date, {day('40')} AS disposition_date
+     , CASE WHEN o_orderkey % 9 = 0 THEN 'Pre-Arbitration' ELSE 'First Chargeback' END AS chargeback_work_type
+     , {_case('o_orderkey % 6', _REASONS)} AS dispute_reason
+     , CAST(o_totalprice AS DECIMAL(18,2)) AS chargeback_amount, concat('C', o_orderkey, '-', {later}) AS case_number
+FROM orders WHERE o_orderkey % 3 <= 1"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+def dispute_b_sql(d) -> str:
+    return f"""
+SELECT {_case('o_orderkey % 4', ['PPLUS_US_Card_Charge', 'PPlus_INTL_IT_Card_Charge', 'PPlus_INTL_DE_Card_Charge', 'other'])} AS merchant_account
+     , concat('PSP', o_orderkey, '-', l_partkey) AS psp_reference
+     , CASE WHEN o_orderkey % 5 = 3 THEN concat('PAR', o_orderkey)
+            ELSE concat('T', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) END AS merchant_reference
+     , CASE WHEN o_orderkey % 7 = 0 THEN concat('shop', o_custkey) ELSE CAST(o_custkey AS VARCHAR(40)) END AS shopper_reference
+     , CASE WHEN l_partkey % 8 = 0 THEN 'Refund' ELSE 'Chargeback' END AS record_type
+     , {_case('l_partkey % 6', _REASONS)} AS dispute_reason
+     , CAST({d.plus_days(_shifted(d), '20')} AS TIMESTAMP) AS dispute_date
+     , CAST({_shifted(d)} AS TIMESTAMP) AS payment_date
+     , CAST(l_extendedprice AS DECIMAL(18,2)) AS dispute_amount
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 3 AND o_custkey % 2 = 1"""
+
+
+def refund_request_sql(d) -> str:
+    """Refund requests: one per order of every third customer."""
+    day = d.format_date(d.plus_days(_shifted(d), "-20"), "M/d/yyyy", "%-m/%-d/%Y")
+    iso = d.format_date(d.plus_days(_shifted(d), "-20"), "yyyy-MM-dd", "%Y-%m-%d")
+    short = d.format_date(d.plus_days(_shifted(d), "-20"), "M/d/yy", "%-m/%-d/%y")
+    return f"""
+SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE CAST(o_custkey AS VARCHAR(40)) END AS account_cd
+     , CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE concat(' S', o_orderkey, ' ') END AS subscription_guid
+     , CASE o_orderkey % 5 WHEN 0 THEN {iso} WHEN 1 THEN {day} WHEN 2 THEN {short} WHEN 3 THEN 'soon' ELSE '' END AS refund_dt
+     , CASE WHEN o_orderkey % 2 = 0 THEN 'refund note' END AS account_note
+     , CASE o_orderkey % 3 WHEN 0 THEN 'usd' WHEN 1 THEN '' ELSE 'EUR' END AS currency_cd
+FROM orders WHERE o_custkey % 3 = 0"""
+
+
+def billing_invoice_sql(d) -> str:
+    """Billing-system invoices: one per order line."""
+    t = d.ts_plus_minutes(_activate(d), "(l_linenumber - 3) * 14400")
+    return f"""
+SELECT concat('S', l_orderkey) AS subscription_guid
+     , CASE WHEN l_linenumber = 6 THEN 'credit' ELSE 'charge' END AS type
+     , CASE WHEN l_linenumber = 5 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS total
+     , CASE WHEN l_suppkey % 4 = 0 THEN 'EUR' WHEN l_suppkey % 4 = 1 THEN 'usd' ELSE 'USD' END AS currency
+     , CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_orderkey * 100000 + l_partkey * 10 + l_linenumber END AS number
+     , concat('id', l_orderkey, '-', l_partkey, '-', l_suppkey, '-', l_linenumber) AS id
+     , CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE {t} END AS billed_at
+     , CASE WHEN l_partkey % 3 = 0 AND l_partkey % 2 = 0 THEN {t} END AS closed_at
+     , CAST(NULL AS TIMESTAMP) AS updated_at
+     , CASE WHEN l_partkey % 15 = 0 THEN NULL ELSE {t} END AS created_at
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def note_sql(d) -> str:
+    return f"""
+SELECT CAST(o_custkey AS VARCHAR(40)) AS account_cd, {_activate(d)} AS created_at
+FROM orders WHERE o_orderkey % 2 = 0"""
+
+
 def event_txn_sql(d) -> str:
     """Hourly fixture: events as payment attempts in the historical layout."""
     return """
@@ -310,6 +433,15 @@ _VIEWS = {
     "starts": (start_type_sql, ("orders",)),
     "req": (gateway_request_sql, ("orders",)),
     "codes": (response_text_sql, ("nation",)),
+    "isum": (invoice_sum_sql, ("orders",)),
+    "creq": (card_request_sql, ("orders",)),
+    "cbatch": (card_batch_sql, ("orders",)),
+    "recov": (recovery_sql, ("orders",)),
+    "disp_a": (dispute_a_sql, ("orders",)),
+    "disp_b": (dispute_b_sql, ("lineitem", "orders")),
+    "refund": (refund_request_sql, ("orders",)),
+    "binv": (billing_invoice_sql, ("lineitem", "orders")),
+    "notes": (note_sql, ("orders",)),
     "ev": (event_txn_sql, ("events",)),
 }
 

@@ -12,25 +12,25 @@ from checks.lifecycle_queries import plain
 from checks.oracle_lifecycle import AS_OF
 from checks.registry import register
 from paylens.operators import classify as cl
-from paylens.operators import invoices as inv
-from paylens.operators.subscriptions import sub_history
+from paylens.plans import gateway_reports as gr
 
 SINCE = dt.date(2024, 6, 1)
-INVOICES_SINCE = dt.date(2024, 5, 1)
 
 
-def history(spark, sf_dir):
-    subs = sub_history(spark_view(spark, sf_dir, "sub"), AS_OF)
-    return cl.with_start_type(subs, spark_view(spark, sf_dir, "starts"))
+def tables(spark, sf_dir):
+    names = {
+        "txn": "att",
+        "lines": "adj",
+        "subs": "sub",
+        "start_types": "starts",
+        "requests": "req",
+        "response_texts": "codes",
+    }
+    return gr.Tables(**{k: spark_view(spark, sf_dir, v) for k, v in names.items()})
 
 
 def classified(spark, sf_dir):
-    hist = history(spark, sf_dir)
-    invoices = inv.invoice_rollup(spark_view(spark, sf_dir, "adj"), INVOICES_SINCE)
-    attempts = inv.clean_attempts(spark_view(spark, sf_dir, "att"), SINCE)
-    assigned = cl.assign_invoices(attempts, invoices, hist, SINCE, AS_OF)
-    stated = cl.with_invoice_state(assigned, invoices)
-    return cl.classify(stated, hist, SINCE, AS_OF)
+    return gr.detailed_classes(tables(spark, sf_dir), SINCE, AS_OF)
 
 
 _CLASS_COLUMNS = (

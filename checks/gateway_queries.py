@@ -5,29 +5,27 @@ from __future__ import annotations
 import datetime as dt
 
 from checks import oracle_gateway as orc
-from checks.fixtures import spark_view
+from checks.classify_queries import tables
 from checks.oracle_lifecycle import AS_OF
 from checks.registry import register
 from paylens.operators import gateway as gw
-from paylens.operators.subscriptions import sub_history
+from paylens.plans import gateway_reports as gr
 
 SINCE = dt.date(2024, 6, 1)
 # the fixture has ten BINs
 TOP = 4
 
 
-def _inputs(spark, sf_dir):
-    history = sub_history(spark_view(spark, sf_dir, "sub"), AS_OF)
-    return spark_view(spark, sf_dir, "att"), spark_view(spark, sf_dir, "adj"), history
-
-
 def _report(build, **kw):
-    return lambda spark, sf_dir: build(*_inputs(spark, sf_dir), SINCE, **kw)
+    return lambda spark, sf_dir: build(tables(spark, sf_dir), SINCE, AS_OF, **kw)
 
 
 def _categories(rules: str):
     def run(spark, sf_dir):
-        base, _, _ = gw._parts(*_inputs(spark, sf_dir), SINCE, rules, True, None)
+        t = tables(spark, sf_dir)
+        base, _, _ = gw._parts(
+            t.txn, t.lines, gr.history(t, AS_OF), SINCE, rules, True, None
+        )
         return base.select(
             "transaction_guid",
             "transaction_category",
@@ -41,6 +39,6 @@ def _categories(rules: str):
 
 register("attempt_categories_window", _categories(gw.BY_WINDOW), orc.category_sql("window"))
 register("attempt_categories_band", _categories(gw.BY_BAND), orc.category_sql("band"))
-register("gateway_comparison", _report(gw.gateway_comparison), orc.comparison_sql())
-register("gateway_grains", _report(gw.gateway_grains, top=TOP), orc.grains_sql(TOP))
-register("gateway_by_bin", _report(gw.gateway_by_bin, top=TOP), orc.by_bin_sql(TOP))
+register("gateway_comparison", _report(gr.comparison), orc.comparison_sql())
+register("gateway_grains", _report(gr.grains, top=TOP), orc.grains_sql(TOP))
+register("gateway_by_bin", _report(gr.by_bin, top=TOP), orc.by_bin_sql(TOP))

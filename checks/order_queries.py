@@ -5,28 +5,23 @@ from __future__ import annotations
 import datetime as dt
 
 from checks import oracle_orders as orc
-from checks.classify_queries import INVOICES_SINCE, SINCE, history
-from checks.fixtures import spark_view
+from checks.classify_queries import SINCE, tables
 from checks.oracle_lifecycle import AS_OF
 from checks.registry import register
-from paylens.operators import invoices as inv
 from paylens.operators import orders as od
+from paylens.plans import gateway_reports as gr
 
 BINS, CODES = 5, 3
 
 
 def _rows(spark, sf_dir):
-    hist = history(spark, sf_dir)
-    invoices = inv.invoice_rollup(spark_view(spark, sf_dir, "adj"), INVOICES_SINCE)
-    attempts = inv.clean_attempts(spark_view(spark, sf_dir, "att"), SINCE)
-    declines = od.decline_texts(
-        spark_view(spark, sf_dir, "req"), spark_view(spark, sf_dir, "codes"), dt.date(1996, 1, 1)
-    )
-    context = od.with_context(
-        od.with_latest(od.reached_gateway(attempts)), invoices, hist, declines
-    )
-    return od.order_rows(
-        context, hist, SINCE, AS_OF, dt.date(2024, 1, 1), dt.date(2024, 6, 15)
+    return gr.orders(
+        tables(spark, sf_dir),
+        SINCE,
+        AS_OF,
+        subs_since=dt.date(2024, 1, 1),
+        orders_since=dt.date(2024, 6, 15),
+        requests_since=dt.date(1996, 1, 1),
     )
 
 

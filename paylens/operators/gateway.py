@@ -494,6 +494,12 @@ def _with_rates(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ reports
 
+# what attempts and invoice facts read from a categorised invoice
+CATEGORY_COLUMNS = (
+    *INVOICE, "subscription_guid", "invoice_nbr", "invoice_type_cd", "invoice_billed_dt_ut",
+    "adj_total_amt", "renewal_earliest_inv", "invoice_category", "invoice_state_desc",
+)
+
 
 def _parts(
     txn: DataFrame,
@@ -506,6 +512,7 @@ def _parts(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     invoices = invoice_rollup(lines, invoice_since or add_months(since, -1))
     cat = categorize_invoices(invoices, history, change_invoices(txn), change_first)
+    cat = computed_once(cat.select(*CATEGORY_COLUMNS))
     attempts = scoped_attempts(txn, since)
     return categorized_attempts(attempts, cat, history, since, rules), cat, attempts
 

@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The folder ``spark.checkpoint.dir`` names; a local session without one
+    gets a temporary folder, a cluster without one gets none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="paylens-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def computed_once(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's checkpoint folder and read it from there.
+    """Write `df` as a table in the shared checkpoint folder and read it back.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``, so a lost
-    executor costs nothing upstream. Only a local session without a setting
-    gets a folder of its own; a cluster without one recomputes each branch.
+    The lineage ends there, so a lost executor costs nothing upstream, and the
+    readers prune columns and know the table's size. Without a shared folder
+    the frame is returned as it is and each branch computes it.
     """
     spark = df.sparkSession
-    folder = _checkpoint_dir(spark)
+    folder = _shared_folder(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        folder = tempfile.mkdtemp(prefix="paylens-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        return df
+    path = f"{folder.rstrip('/')}/paylens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

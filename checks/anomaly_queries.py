@@ -12,7 +12,6 @@ from paylens.operators.fixed_baseline import FixedPeriod
 from paylens.plans import presets as pre
 
 AS_OF = dt.date(2026, 1, 28)
-LAST_14 = RunWindow(dt.date(2026, 1, 14), dt.date(2026, 1, 27))
 SMALL = {"z": 2.0, "min_baseline": 5}
 # thresholds are parameters; the fixture's volumes call for lower ones
 TUNING = {
@@ -64,3 +63,21 @@ def fixed_zscore(spark, sf_dir):
 
 register("anomaly_percent_change", percent_change, orc.percent_change_sql(FIXED, FIXED_BINS))
 register("anomaly_fixed_zscore", fixed_zscore, orc.fixed_zscore_sql(FIXED, FIXED_BINS))
+
+
+def dashboard_bound(spark, sf_dir):
+    """The dashboard panel with bound parameters instead of the defaults."""
+    return pre.PRESETS["dashboard_bin"].run(
+        spark_view(spark, sf_dir, "txn"), AS_OF, window=BOUND, sources=(115, 139), tune=BOUND_TUNE
+    )
+
+
+BOUND = RunWindow(dt.date(2026, 1, 5), dt.date(2026, 1, 20))
+BOUND_TUNE = {"z": 1.5, "min_current": 2}
+register(
+    "anomaly_dashboard_bound",
+    dashboard_bound,
+    orc.preset_sql(
+        pre.PRESETS["dashboard_bin"], AS_OF, BOUND_TUNE, BOUND, extra=" AND src_system_id IN (115, 139)"
+    ),
+)

@@ -418,3 +418,13 @@ register(
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
 UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 7 = 0""",
 )
+
+
+# ------------------------------------------------------------ row range
+register(
+    "row_range",
+    lambda s, d: files.row_range(
+        fx.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 5001, 1000
+    ),
+    "SELECT o_orderkey, o_custkey, o_totalprice FROM orders LIMIT 1000 OFFSET 5000",
+)

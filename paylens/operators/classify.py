@@ -67,16 +67,21 @@ def assign_invoices(
     )
     trial = trial.groupBy(*ACCOUNT, "pre_guid").agg(F.min("trial_nbr").alias("trial_nbr"))
     no_invoice = F.col("invoice_guid").isNull()
-    placed = placed.join(trial, [*ACCOUNT, "pre_guid"], "left").withColumn(
-        "trial_nbr", F.when(no_invoice, F.col("trial_nbr"))
-    )
-    # attempts in no window need neither value; their own id spreads them
-    together = Window.partitionBy(*ACCOUNT, F.coalesce("pre_guid", "transaction_guid"))
-    placed = placed.withColumns(
-        {
-            "first_nbr": F.max(F.when(F.col("own_rank") == 1, F.col("own_nbr"))).over(together),
-            "trial_nbr": F.min("trial_nbr").over(together),
-        }
+    # first invoices paid by an attempt inside a window, per window; reads four
+    # columns of the attempts again instead of a window over all of them
+    firsts = attempts.select(*INVOICE, "trans_dt_ut").join(
+        own.where(F.col("own_rank") == 1), list(INVOICE)
+    )
+    first = (
+        interval_join(
+            firsts, windows, F.col("trans_dt_ut"), "prior_expiration", "post_activate", since,
+            as_of, how="inner",
+        )
+        .groupBy(*ACCOUNT, "pre_guid")
+        .agg(F.max("own_nbr").alias("first_nbr"))
+    )
+    placed = placed.join(trial, [*ACCOUNT, "pre_guid"], "left").join(
+        first, [*ACCOUNT, "pre_guid"], "left"
     )
 
     verify, purchase = (F.col("trans_type_desc") == k for k in ("verify", "purchase"))
@@ -380,16 +385,16 @@ def classify(
 def with_details(classified: DataFrame, next_rows: bool = True) -> DataFrame:
     """Fraud flag of the invoice and, optionally, what comes next.
 
-    Attempts without an invoice need no flag of their own group; their id keeps
-    them from piling up in one.
+    The invoices with a fraud decline are few and found by a plain filter, so
+    no window has to gather the attempts of an invoice.
     """
     is_fraud = F.trim(F.coalesce("failure_type", F.lit(""))) == FRAUD
-    invoice = Window.partitionBy(
-        *ACCOUNT, F.coalesce(F.col("invoice_nbr").cast("string"), F.col("transaction_guid"))
-    )
-    out = classified.withColumn(
-        "fraud_chk", F.max(F.when(is_fraud, 1).otherwise(0)).over(invoice)
-    )
+    invoice = [*ACCOUNT, "invoice_nbr"]
+    classified = computed_once(classified)
+    fraud = classified.where(is_fraud & F.col("invoice_nbr").isNotNull()).select(*invoice)
+    out = classified.join(
+        fraud.distinct().withColumn("fraud_chk", F.lit(1)), invoice, "left"
+    ).withColumn("fraud_chk", F.coalesce("fraud_chk", F.lit(0)))
     if not next_rows:
         return out
     order = Window.partitionBy(*ACCOUNT, "sub_guid").orderBy(

@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JIT leaves methods above 8000 bytes of bytecode interpreted; wide
+    # projections run several times faster without whole-stage code there
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -110,13 +110,10 @@ def flag_by_score(score: Column, threshold: float) -> Column:
 
 def market(gateway_cd: Column) -> Column:
     """Gateway code to market; unknown codes fall through unchanged."""
-    pairs = [
-        F.lit(v)
-        for region, codes in fv.GATEWAYS_BY_MARKET.items()
-        for code in codes
-        for v in (code, region)
-    ]
-    return F.coalesce(F.create_map(*pairs)[gateway_cd], gateway_cd)
+    out = F
+    for region, codes in fv.GATEWAYS_BY_MARKET.items():
+        out = out.when(gateway_cd.isin(*codes), region)
+    return out.otherwise(gateway_cd)
 
 
 def succeeded(status: Column) -> Column:

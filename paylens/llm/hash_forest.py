@@ -176,9 +176,11 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, share: float
     slices = spark.createDataFrame(
         [(t, s, max(1, math.ceil(int(sliced[t, s]) / SLICE))) for t in range(trees) for s in range(1 << SHARD_BITS)], "tree int, shard int, slices int"
     )
+    # at the least a few times `top` a tree, so that few rows are all searched
+    wanted = min(trees * n, max(math.ceil(share * n), 4 * trees * top))
     index = index.join(F.broadcast(slices), ["tree", "shard"]).withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
     asked = distinct.filter("asks").select("key", "vector").mapInArrow(
-        partial(_route, planes=planes, width=width, counts=counts, wanted=math.ceil(share * n)),
+        partial(_route, planes=planes, width=width, counts=counts, wanted=wanted),
         f"tree int, shard int, depth int, code long, key string, vector {kind}",
     )
     spread = slices.toDF("tree", "shard", "parts")

@@ -139,7 +139,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarr
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: int = 0, penalty: float = 3e-5, steps: int = 250) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: int = 0, penalty: float = 5e-4, steps: int = 300) -> Model:
     """Learn from labelled rows outside the held-out part.
 
     The sampled label rows are at most `most_rows` and a little, so that they

@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words remembered per Python worker, about 200 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Text bytes that are cut into words together.
-TOGETHER_BYTES = 16 << 20
+TOGETHER_BYTES = 8 << 20
 #: Unknown words made of letters alone share one call; the library's cost is mostly per call.
 PER_CALL = 50
 _ENCODERS: dict[str, TextEncoder] = {}

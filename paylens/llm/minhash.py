@@ -42,6 +42,7 @@ BANDS, ROWS, LOW_BITS = 38, 5, 4
 MINIMA = BANDS * ROWS
 WORDS64 = -(-MINIMA // 64)
 SMALL_BUCKET = 16
+ORDERS = 6
 CHUNK = 1 << 15
 SIGNATURE_SCHEMA = (
     "rid long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, packed array<long>"
@@ -218,8 +219,11 @@ class NearDuplicates:
         first = some.groupBy("set_key").agg(F.min("rid").alias("rid")).select("rid")
         nodes = scratch.table(some.join(first, "rid").select("rid", "doc_id", "text_key", "n_shingles", "bands", "packed"), "nodes")
         rows = nodes.select("rid", F.explode("bands").alias("h"))
-        shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("lead")).filter("n > 1")
-        members = scratch.table(rows.join(shared, "h"), "members")
+        # a bucket's first pivot by one of ORDERS random orders: groups of copies get that many pivots in all
+        rows = rows.withColumn("rank", F.xxhash64("rid", F.pmod("h", F.lit(ORDERS))))
+        shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rank").alias("least")).filter("n > 1")
+        members = rows.join(shared, "h").select("h", "rid", "n", (F.col("rank") == F.col("least")).alias("leads"))
+        members = scratch.table(members, "members")
 
         confirmed = tested = spark.createDataFrame([], "a long, b long")
         labelled = members.withColumn("comp", F.col("rid"))
@@ -228,7 +232,7 @@ class NearDuplicates:
             share = F.lit(0.0) if turn == 0 else F.lit(4.0 * 8.0 ** (turn - 1)) / F.col("n")
             done = SMALL_BUCKET if turn == 0 else max(SMALL_BUCKET, 4 * 8 ** (turn - 1))
             chosen = F.shiftrightunsigned(F.xxhash64("h", "rid", F.lit(turn)), 11) * F.lit(2.0**-53) < share
-            marked = labelled.withColumn("pivot", (F.col("rid") == F.col("lead")) | (F.col("n") <= done) | chosen)
+            marked = labelled.withColumn("pivot", F.col("leads") | (F.col("n") <= done) | chosen)
             pivots = marked.filter("pivot").select("h", F.col("rid").alias("p"), F.col("comp").alias("p_comp"))
             pairs = marked.join(pivots, "h").filter("comp <> p_comp and (not pivot or rid < p)")
             pairs = pairs.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()

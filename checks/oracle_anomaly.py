@@ -338,13 +338,13 @@ def stacked(spec, bi="", share=False, before=None) -> str:
     return f"\nSELECT * FROM ({' UNION ALL '.join(parts)}) u{where}"
 
 
-def dashboard(spec, top=500) -> str:
+def dashboard(spec, top=None) -> str:
     m = spec.metrics[0]
     return f"""
 SELECT src_system_id, trans_dt AS run_dt, {', '.join(spec.keys)}, {m}_rate AS rate_pct, {m}_avg AS baseline_avg
      , {m}_score AS z_score, ({m}_z >= {spec.z} OR {m}_z <= -{spec.z}) AS flagged
 FROM final
-ORDER BY run_dt DESC, z_score DESC NULLS LAST, src_system_id, {', '.join(spec.keys)} LIMIT {top}"""
+ORDER BY run_dt DESC, z_score DESC NULLS LAST, src_system_id, {', '.join(spec.keys)}{f' LIMIT {top}' if top else ''}"""
 
 
 def preset_sql(preset, as_of: dt.date, tune=None, window=None, source_cte=None, extra="") -> str:

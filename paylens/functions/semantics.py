@@ -54,11 +54,12 @@ def ratio(num: Column, den: Column) -> Column:
 def sample_stddev(n: Column, total: Column, squares: Column) -> Column:
     """Sample standard deviation from moments; NULL below two values.
 
-    ``total`` and ``squares`` share one type: long where the values are bounded
-    (rates), which keeps the numerator exact, else double.
+    The numerator is the small difference of large numbers, so that it is taken
+    on exact decimals; only its root is a double.
     """
+    n, total, squares = (x.cast("decimal(38,0)") for x in (n, total, squares))
     spread = (squares * n - total * total).cast("double")
-    pairs = (n * (n - 1)).cast("double")
+    pairs = n.cast("double") * (n.cast("double") - 1)
     return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / pairs))
 
 

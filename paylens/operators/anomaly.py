@@ -136,12 +136,13 @@ def _rate(metric: str, spec: AnomalySpec) -> Column:
     )
 
 
-def _moments(value: Column, stem: str, wide_type: str) -> list[Column]:
+def _moments(value: Column, stem: str) -> list[Column]:
     past = F.when(~F.col("is_current"), value)
+    exact = past.cast("decimal(19,0)")
     return [
         F.count(past).alias(f"{stem}_n"),
         F.sum(past).alias(f"{stem}_s"),
-        F.sum(past.cast(wide_type) * past.cast(wide_type)).alias(f"{stem}_ss"),
+        F.sum(exact * exact).alias(f"{stem}_ss"),
         F.max(F.when(F.col("is_current"), value)).alias(f"{stem}_cur"),
     ]
 
@@ -168,15 +169,14 @@ def compare_to_history(
     ]
     for m in spec.metrics:
         if spec.share:
-            # a rate is at most scale * 10**digits, so its moments fit a long
             marked = marked.withColumn(f"{m}_q", _rate(m, spec))
-            aggs += _moments(F.col(f"{m}_q"), f"{m}_q", "long")
+            aggs += _moments(F.col(f"{m}_q"), f"{m}_q")
             aggs += [
                 F.sum(F.when(~current, F.col(f"{m}_ct"))).alias(f"{m}_s"),
                 F.max(F.when(current, F.col(f"{m}_ct"))).alias(f"{m}_cur"),
             ]
         else:
-            aggs += _moments(F.col(f"{m}_ct"), m, "double")
+            aggs += _moments(F.col(f"{m}_ct"), m)
     if spec.share:
         first = f"{spec.metrics[0]}_tot"
         aggs += [
@@ -252,7 +252,7 @@ def _score_counts(df: DataFrame, spec: AnomalySpec) -> DataFrame:
         stats += [
             F.coalesce(F.col(f"{m}_cur"), _zero()).alias(f"{m}_ct"),
             sem.mean_half_up(s, n).alias(f"{m}_avg"),
-            sem.round_to_long(sem.sample_stddev(n, s.cast("double"), ss)).alias(f"{m}_std"),
+            sem.round_to_long(sem.sample_stddev(n, s, ss)).alias(f"{m}_std"),
         ]
     df = _gated(df.select(*_kept(spec), *stats), spec, f"{spec.metrics[0]}_avg")
     scores, flags = {}, {}
@@ -477,8 +477,8 @@ def stacked_shares(scored: DataFrame, spec: AnomalySpec) -> DataFrame:
     )
 
 
-def dashboard_panel(scored: DataFrame, spec: AnomalySpec, top: int | None = 500) -> DataFrame:
-    """Every candidate with a boolean flag; the newest, strongest rows first."""
+def dashboard_panel(scored: DataFrame, spec: AnomalySpec, top: int | None = None) -> DataFrame:
+    """Every candidate with a boolean flag; with `top`, so many of the newest, strongest rows."""
     m = spec.metrics[0]
     out = scored.select(
         SOURCE,

@@ -28,7 +28,8 @@ def with_start_type(history: DataFrame, start_types: DataFrame) -> DataFrame:
 
 
 def _synthetic(prefix: str) -> Column:
-    account = F.expr("try_cast(account_cd AS BIGINT)") * F.lit(10000).cast("long")
+    # an account that is no number is an error here: it must not lose its invoices unnoticed
+    account = F.col("account_cd").cast("decimal(28,0)") * F.lit(10000).cast("decimal(5,0)")
     return F.concat(F.lit(prefix), account.cast("string"), F.lit("1")).cast("decimal(38,0)")
 
 
@@ -391,10 +392,12 @@ def with_details(classified: DataFrame, next_rows: bool = True) -> DataFrame:
     is_fraud = F.trim(F.coalesce("failure_type", F.lit(""))) == FRAUD
     invoice = [*ACCOUNT, "invoice_nbr"]
     classified = computed_once(classified)
-    fraud = classified.where(is_fraud & F.col("invoice_nbr").isNotNull()).select(*invoice)
-    out = classified.join(
-        fraud.distinct().withColumn("fraud_chk", F.lit(1)), invoice, "left"
-    ).withColumn("fraud_chk", F.coalesce("fraud_chk", F.lit(0)))
+    # attempts of an account without an invoice form a group of their own
+    fraud = classified.where(is_fraud).select(*[F.col(c).alias(f"fraud_{c}") for c in invoice])
+    same = [F.col(c).eqNullSafe(F.col(f"fraud_{c}")) for c in invoice]
+    out = classified.join(fraud.distinct().withColumn("fraud_chk", F.lit(1)), same, "left")
+    out = out.withColumn("fraud_chk", F.coalesce("fraud_chk", F.lit(0)))
+    out = out.drop(*[f"fraud_{c}" for c in invoice])
     if not next_rows:
         return out
     order = Window.partitionBy(*ACCOUNT, "sub_guid").orderBy(

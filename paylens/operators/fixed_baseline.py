@@ -98,13 +98,13 @@ def fixed_zscore_report(
         ct = F.col(f"{m}_ct")
         moments[f"{m}_n"] = _over_key(ct, F.count)
         moments[f"{m}_s"] = _over_key(ct, F.sum)
-        moments[f"{m}_ss"] = _over_key(ct.cast("double") * ct.cast("double"), F.sum)
+        moments[f"{m}_ss"] = _over_key(ct.cast("decimal(19,0)") * ct.cast("decimal(19,0)"), F.sum)
     volumes = volumes.withColumns(moments).where(~F.col("is_baseline") & (F.col("total_n") > 0))
     stats = {}
     for m in METRICS:
         n, s, ss = (F.col(f"{m}_{x}") for x in ("n", "s", "ss"))
         stats[f"{m}_avg"] = sem.mean_half_up(s, n)
-        stats[f"{m}_std"] = sem.sample_stddev(n, s.cast("double"), ss)
+        stats[f"{m}_std"] = sem.sample_stddev(n, s, ss)
     volumes = volumes.withColumns(stats)
 
     exprs = [F.col(c) for c in (*KEYS, "trans_dt")]

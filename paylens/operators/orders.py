@@ -55,9 +55,8 @@ def with_latest(attempts: DataFrame) -> DataFrame:
             ).otherwise(PRE_SUB),
         }
     )
-    # only purchases on a subscription use the first rank
-    invoice = F.when(F.col("txn_type") == PRE_SUB, F.col("transaction_guid"))
-    per_invoice = Window.partitionBy(*INVOICE, invoice, "trans_status_desc_2").orderBy(newest)
+    # attempts before a subscription count too: they push an older purchase down
+    per_invoice = Window.partitionBy(*INVOICE, "trans_status_desc_2").orderBy(newest)
     per_day = Window.partitionBy(*ACCOUNT, verify, "trans_dt", "trans_status_desc_2").orderBy(newest)
     return out.withColumns(
         {

@@ -13,6 +13,10 @@ groups, so one pass finds the next activation for every attempt:
 * if no later window has begun either (a running minimum tells), there is none;
 * only attempts in between, which exist where subscriptions of one account
   overlap, still need a search over that account's subscriptions.
+
+A subscription that is not yet active has an open window and comes before all
+others. It is no event in any month: one running minimum per account that has
+such subscriptions finds the first of those that had begun.
 """
 
 from __future__ import annotations
@@ -75,6 +79,19 @@ def _events(windows: DataFrame, floor_month: int) -> DataFrame:
     )
 
 
+def _pending(attempts: DataFrame, windows: DataFrame) -> DataFrame:
+    """The first subscription not yet active that had begun at an attempt."""
+    own = attempts.select(*ACCOUNT, "transaction_guid", "trans_dt_ut").distinct()
+    own = own.join(windows.select(*ACCOUNT).distinct(), list(ACCOUNT), "left_semi")
+    events = windows.select(*ACCOUNT, F.col("opens").alias("trans_dt_ut"), "win")
+    merged = own.withColumn("late", F.lit(1)).unionByName(
+        events.withColumn("late", F.lit(0)), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy(*ACCOUNT).orderBy("trans_dt_ut", "late")
+    found = merged.withColumn("win", F.min("win").over(so_far)).where("late = 1 and win is not null")
+    return found.drop("late")
+
+
 def in_activation_window(
     attempts: DataFrame, history: DataFrame, floor: dt.date = dt.date(2015, 1, 1)
 ) -> DataFrame:
@@ -83,7 +100,9 @@ def in_activation_window(
     Everything before ``floor`` shares one month group.
     """
     floor_month = floor.year * 12 + floor.month
-    windows = _windows(history)
+    every = _windows(history)
+    active = F.col("win.activate_dt_ut").isNotNull()
+    windows = every.where(active)
     when = F.col("trans_dt_ut")
     merged = attempts.withColumns(
         {
@@ -123,6 +142,9 @@ def in_activation_window(
     )
     searched = open_.join(hits, [*ACCOUNT, "transaction_guid", "trans_dt_ut"], "left")
     both = direct.unionByName(searched.select(*direct.columns))
+    pending = _pending(attempts, every.where(~active)).withColumnRenamed("win", "pending")
+    both = both.join(pending, [*ACCOUNT, "transaction_guid", "trans_dt_ut"], "left")
+    both = both.withColumn("win", F.coalesce("pending", "win"))
     return both.select(
         *[c for c in attempts.columns],
         *[F.col(f"win.{c}").alias(f"{PREFIX}{c}") for c in WINDOW_COLUMNS],

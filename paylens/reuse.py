@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    """The folder ``spark.checkpoint.dir`` names; a local session without one
-    gets a temporary folder, a cluster without one gets none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="paylens-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder
 
 
@@ -24,13 +19,10 @@ def computed_once(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back.
 
     The lineage ends there, so a lost executor costs nothing upstream, and the
-    readers prune columns and know the table's size. Without a shared folder
-    the frame is returned as it is and each branch computes it.
+    readers prune columns and know the table's size.
+    Without a shared folder this is an error.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/paylens-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark).rstrip('/')}/paylens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

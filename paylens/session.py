@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -31,6 +33,7 @@ def local_session(cores: str = "8", app: str = "paylens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paylens-shared-"))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

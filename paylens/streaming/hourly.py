@@ -62,7 +62,7 @@ def hourly_baseline(counts: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(ct).alias("s"),
-            F.sum(ct.cast("double") * ct.cast("double")).alias("ss"),
+            F.sum(ct.cast("decimal(19,0)") * ct.cast("decimal(19,0)")).alias("ss"),
         )
     )
     return moments.select(
@@ -70,7 +70,7 @@ def hourly_baseline(counts: DataFrame) -> DataFrame:
         "dow",
         "trans_hr",
         sem.mean_half_up(s, n).alias("baseline_avg_ct"),
-        sem.round_to_long(sem.sample_stddev(n, s.cast("double"), ss)).alias("baseline_stddev_ct"),
+        sem.round_to_long(sem.sample_stddev(n, s, ss)).alias("baseline_stddev_ct"),
     )
 
 

@@ -19,9 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without later copies of line runs; n_chars follows the text."""
-    out = remove_repeated_lines(Scratch(spark, "lines"), docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """The documents without later copies of line runs; n_chars follows the text.
+
+    A document all of whose lines were later copies is itself a copy and goes.
+    """
+    out = remove_repeated_lines(Scratch(spark, "lines"), docs)
+    emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"\S")
+    return out.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions import fixed_values as fv
@@ -73,14 +73,25 @@ def _count(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def kpi_scope(txn: DataFrame) -> DataFrame:
-    return txn.where(is_attempt() & F.col("origin_desc").isin(*fv.API_ORIGINS))
+def attempts(txn: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    """Customers' attempts under the filters; test rows go where they are marked."""
+    if "test_transaction_ind" in txn.columns:
+        txn = txn.where(~F.coalesce("test_transaction_ind", F.lit(False)))
+    return apply_filters(txn.where(is_attempt()), filters)
+
 
+def kpi_scope(txn: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    return attempts(txn, filters).where(F.col("origin_desc").isin(*fv.API_ORIGINS))
 
-def success_rates(txn: DataFrame, by: Sequence[str] = ("src_system_id", "trans_dt")) -> DataFrame:
+
+def success_rates(
+    txn: DataFrame,
+    by: Sequence[str] = ("src_system_id", "trans_dt"),
+    filters: Filters = Filters(),
+) -> DataFrame:
     status = F.col("trans_status_desc")
     out = (
-        kpi_scope(txn)
+        kpi_scope(txn, filters)
         .groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("attempts"),
@@ -96,23 +107,23 @@ def success_rates(txn: DataFrame, by: Sequence[str] = ("src_system_id", "trans_d
     )
 
 
-def volume(txn: DataFrame, grain: str = "day") -> DataFrame:
-    """Count and amount per day, Sunday week or month, test rows left out."""
+def volume(txn: DataFrame, grain: str = "day", filters: Filters = Filters()) -> DataFrame:
+    """Count and amount of attempts per day, Sunday week or month."""
     starts = {
         "day": F.col("trans_dt"),
         "week": sem.week_start_sunday(F.col("trans_dt")),
         "month": F.trunc("trans_dt", "month"),
     }
-    if "test_transaction_ind" in txn.columns:
-        txn = txn.where(~F.coalesce("test_transaction_ind", F.lit(False)))
-    return txn.groupBy(starts[grain].alias("period"), "src_system_id").agg(
+    return attempts(txn, filters).groupBy(starts[grain].alias("period"), "src_system_id").agg(
         F.count(F.lit(1)).alias("txn_ct"), F.sum("trans_amt").alias("txn_amt")
     )
 
 
-def verification_rates(txn: DataFrame, cvv_match: Sequence[str] = ("match",)) -> DataFrame:
+def verification_rates(
+    txn: DataFrame, cvv_match: Sequence[str] = ("match",), filters: Filters = Filters()
+) -> DataFrame:
     """AVS pass and CVV match among successful attempts; missing counts as not."""
-    won = txn.where(is_attempt() & sem.succeeded(F.col("trans_status_desc")))
+    won = attempts(txn, filters).where(sem.succeeded(F.col("trans_status_desc")))
     out = won.groupBy("src_system_id").agg(
         F.count(F.lit(1)).alias("successes"),
         _count(F.col("avs_result_cd").isin(*fv.AVS_PASSED)).alias("avs_pass"),
@@ -126,17 +137,17 @@ def verification_rates(txn: DataFrame, cvv_match: Sequence[str] = ("match",)) ->
     )
 
 
-def shares(txn: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+def shares(txn: DataFrame, dimensions: Sequence[str], filters: Filters = Filters()) -> DataFrame:
     """Attempts per combination and their share of all."""
-    per = txn.where(is_attempt()).groupBy(*dimensions).agg(F.count(F.lit(1)).alias("txn_ct"))
-    # few rows by now: one per combination of the dimensions
-    total = F.sum("txn_ct").over(Window.partitionBy(F.lit(1)))
+    scoped = attempts(txn, filters)
+    per = scoped.groupBy(*dimensions).agg(F.count(F.lit(1)).alias("txn_ct"))
+    total = scoped.agg(F.count(F.lit(1))).scalar()
     return per.withColumn("share", sem.round_ratio(F.col("txn_ct"), total, 5))
 
 
-def decline_breakdown(txn: DataFrame) -> DataFrame:
+def decline_breakdown(txn: DataFrame, filters: Filters = Filters()) -> DataFrame:
     return (
-        kpi_scope(txn)
+        kpi_scope(txn, filters)
         .where(sem.declined(F.col("trans_status_desc")))
         .groupBy("failure_type", "gateway_error_cd")
         .agg(F.count(F.lit(1)).alias("declines"), F.sum("trans_amt").alias("declined_amt"))

@@ -12,7 +12,7 @@ groups, so one pass finds the next activation for every attempt:
   answer whenever its window has already begun;
 * if no later window has begun either (a running minimum tells), there is none;
 * only attempts in between, which exist where subscriptions of one account
-  overlap, still need a search over that account's subscriptions.
+  overlap, still search the account's windows of their own month.
 
 A subscription that is not yet active has an open window and comes before all
 others. It is no event in any month: one running minimum per account that has
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens.functions import semantics as sem
+from paylens.operators.intervals import interval_join
 from paylens.operators.subscriptions import ACCOUNT
 
 WINDOW_COLUMNS = (
@@ -40,6 +41,10 @@ def _month(c: Column) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
+def _clipped(c: Column, first: int, last: int) -> Column:
+    return F.least(F.greatest(_month(c), F.lit(first)), F.lit(last))
+
+
 def _windows(history: DataFrame) -> DataFrame:
     """One struct per subscription; fields order by activation, then id."""
     fields = [
@@ -54,10 +59,10 @@ def _windows(history: DataFrame) -> DataFrame:
     )
 
 
-def _events(windows: DataFrame, floor_month: int) -> DataFrame:
+def _events(windows: DataFrame, floor_month: int, last_month: int) -> DataFrame:
     """Window ends, repeated into every month in which they come next."""
     later = Window.partitionBy(*ACCOUNT).orderBy(F.desc("closes"), F.desc("win"))
-    month = F.greatest(_month(F.col("closes")), F.lit(floor_month))
+    month = _clipped(F.col("closes"), floor_month, last_month)
     previous = F.lead(month).over(later)
     marked = windows.withColumns(
         {
@@ -93,24 +98,28 @@ def _pending(attempts: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def in_activation_window(
-    attempts: DataFrame, history: DataFrame, floor: dt.date = dt.date(2015, 1, 1)
+    attempts: DataFrame,
+    history: DataFrame,
+    floor: dt.date = dt.date(2015, 1, 1),
+    ceiling: dt.date = dt.date(2050, 1, 1),
 ) -> DataFrame:
     """Left-join each attempt to its activation window (`sub_win_*` columns).
 
-    Everything before ``floor`` shares one month group.
+    Everything before ``floor`` shares one month group, everything after
+    ``ceiling`` another, which bounds the months a window is repeated into.
     """
-    floor_month = floor.year * 12 + floor.month
+    floor_month, last_month = (d.year * 12 + d.month for d in (floor, ceiling))
     every = _windows(history)
     active = F.col("win.activate_dt_ut").isNotNull()
     windows = every.where(active)
     when = F.col("trans_dt_ut")
     merged = attempts.withColumns(
         {
-            "month": F.greatest(_month(when), F.lit(floor_month)),
+            "month": _clipped(when, floor_month, last_month),
             "at": when,
             "is_window": F.lit(0),
         }
-    ).unionByName(_events(windows, floor_month), allowMissingColumns=True)
+    ).unionByName(_events(windows, floor_month, last_month), allowMissingColumns=True)
     # newest first; a window ending at the attempt's instant contains it
     backwards = (
         Window.partitionBy(*ACCOUNT, "month")
@@ -128,17 +137,12 @@ def in_activation_window(
 
     direct = found.where(~search).withColumn("win", F.when(begun, F.col("next.win")))
     open_ = found.where(search)
+    asked = open_.select(*ACCOUNT, "transaction_guid", "trans_dt_ut").distinct()
+    overlapping = windows.join(asked.select(*ACCOUNT).distinct(), list(ACCOUNT), "left_semi")
     hits = (
-        open_.select(*ACCOUNT, "transaction_guid", "trans_dt_ut")
-        .distinct()
-        .alias("a")
-        .join(
-            windows.alias("w"),
-            [F.col(f"a.{k}") == F.col(f"w.{k}") for k in ACCOUNT]
-            + [F.col("a.trans_dt_ut").between(F.col("w.opens"), F.col("w.closes"))],
-        )
-        .groupBy("a.transaction_guid", "a.trans_dt_ut", *[f"a.{k}" for k in ACCOUNT])
-        .agg(F.min("w.win").alias("win"))
+        interval_join(asked, overlapping, when, "opens", "closes", floor, ceiling, how="inner")
+        .groupBy(*ACCOUNT, "transaction_guid", "trans_dt_ut")
+        .agg(F.min("win").alias("win"))
     )
     searched = open_.join(hits, [*ACCOUNT, "transaction_guid", "trans_dt_ut"], "left")
     both = direct.unionByName(searched.select(*direct.columns))

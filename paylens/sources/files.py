@@ -103,15 +103,39 @@ def write_upsert(
     upsert(target, staging, keys).write.mode("errorifexists").parquet(out_path)
 
 
+#: a generated row id keeps the row's place in its partition in the lower bits
+PARTITION_SHIFT = 33
+ROW_ID = "__row_id"
+
+
 def row_range(df: DataFrame, start: int, n: int) -> DataFrame:
     """``n`` rows from the 1-based row ``start`` on, in file order.
 
-    Row numbers come from per-partition counts, so nothing is sorted or moved;
-    this is the one place that needs partition order and hence an RDD.
+    A row id holds the partition and the row's place in it, so ids grow in file
+    order; counts per partition tell the ids at both ends and one comparison
+    keeps the rows between them. The count reads no column. `df` is a scan or
+    row-wise steps on one: what a shuffle deals out has no file order.
     """
-    skip = max(0, start - 1)
-    numbered = df.rdd.zipWithIndex().filter(lambda r: skip <= r[1] < skip + n)
-    return df.sparkSession.createDataFrame(numbered.map(lambda r: r[0]), df.schema)
+    row_id = F.monotonically_increasing_id()
+    sizes = (
+        df.select(F.shiftright(row_id, PARTITION_SHIFT).alias("part"))
+        .groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("part")
+    )
+    skip, last, before = max(0, start - 1), max(0, start - 1) + n - 1, 0
+    bounds: list[int] = []
+    for part, size in sizes.toLocalIterator():  # one row a partition
+        inside = max(skip, before), min(last, before + size - 1)
+        if inside[0] <= inside[1]:
+            bounds += [(part << PARTITION_SHIFT) + place - before for place in inside]
+        before += size
+        if before > last:
+            break
+    if not bounds:
+        return df.limit(0)
+    numbered = df.withColumn(ROW_ID, row_id)
+    return numbered.where(F.col(ROW_ID).between(bounds[0], bounds[-1])).drop(ROW_ID)
 
 
 REFUND_COLUMNS = ("account_cd", "subscription_guid", "refund_dt", "account_note")

@@ -70,6 +70,18 @@ def test_row_range_keeps_order_and_columns(spark):
     assert [r.n for r in files.row_range(df, 11, 5).collect()] == [10, 11, 12, 13, 14]
     assert [r.n for r in files.row_range(df, 0, 2).collect()] == [0, 1]
     assert files.row_range(df, 99, 50).count() == 2
+    assert files.row_range(df, 101, 5).count() == 0
+    assert [r.n for r in files.row_range(df.where("n >= 40"), 1, 3).collect()] == [40, 41, 42]
+    assert files.row_range(df, 15, 60).columns == ["n"]
+
+
+def test_row_range_over_files(spark, tmp_path):
+    out = str(tmp_path / "t")
+    spark.range(0, 5000, 1, 9).selectExpr("id as n", "id * 2 as m").write.parquet(out)
+    df = spark.read.parquet(out)
+    every = [tuple(r) for r in df.collect()]
+    for start, n in ((1, 5000), (556, 2), (1000, 1700), (4999, 10)):
+        assert [tuple(r) for r in files.row_range(df, start, n).collect()] == every[start - 1 : start - 1 + n]
 
 
 def test_refund_csv_tolerates_marks_and_blanks(spark, tmp_path):

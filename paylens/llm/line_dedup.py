@@ -108,7 +108,8 @@ def remove_repeated_lines(scratch: Scratch, docs: DataFrame, min_words: int = MI
     gone = scratch.table(gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "gone")
     split = F.split(F.col(text), "\n", -1)
     kept = F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i))
-    out = base.join(gone, "rid", "left").select(
+    # one plan at every size: small inputs would broadcast `gone`, large ones shuffle the texts to it
+    out = base.join(gone.hint("merge"), "rid", "left").select(
         *(F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if n == text else F.col(n) for n in names),
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),

@@ -11,7 +11,7 @@ from checks import oracle_anomaly as orc
 from checks.fixtures import spark_view
 from checks.lifecycle_queries import plain
 from checks.oracle_anomaly import half_up, round_ratio
-from checks.registry import register
+from checks.registry import ORACLES, register
 from paylens.functions import semantics as sem
 from paylens.operators import anomaly as an
 from paylens.operators import kpi
@@ -428,3 +428,59 @@ register(
     ),
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders LIMIT 1000 OFFSET 5000",
 )
+
+
+# ------------------------------------------------- report and refund lines
+REPORT_HEADER = "Merchant ID, Request ID ,Decision Note,Amount"
+
+
+def _report_lines(spark, sf_dir):
+    """Suppliers as report lines: quoted commas, leading zeros, blanks, and the header of a second file."""
+    s = fx.table(spark, sf_dir, "supplier")
+    note = F.when(F.col("s_nationkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"'), "s_name", F.lit(', checked"')))
+    cents = F.format_string("%d.%02d", F.col("s_suppkey") % 977, F.col("s_nationkey"))
+    request = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
+    lines = s.select(F.concat_ws(",", F.col("s_suppkey").cast("string"), request, note, cents).alias("value"))
+    return lines.unionByName(s.where("s_suppkey < 2").select(F.lit(REPORT_HEADER).alias("value")))
+
+
+register(
+    "report_csv",
+    lambda s, d: files.report_from_lines(_report_lines(s, d), REPORT_HEADER),
+    """
+SELECT s_suppkey AS merchant_id, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS request_id
+     , CASE WHEN s_nationkey % 5 <> 0 THEN s_name || ', checked' END AS decision_note
+     , CAST((s_suppkey % 977) || '.' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS DOUBLE) AS amount
+FROM supplier""",
+)
+
+REFUND_HEADER = "﻿account_cd , subscription_guid,refund_dt,account_note"
+
+
+def _refund_lines(spark, sf_dir):
+    """Orders as refund requests: blanks around values, missing dates and notes, a repeated header."""
+    o = fx.table(spark, sf_dir, "orders")
+    day = F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit(', please "')))
+    account = F.concat(F.lit("  "), F.col("o_custkey").cast("string"))
+    lines = o.select(F.concat_ws(",", account, F.concat(F.lit("S"), "o_orderkey"), day, note).alias("value"))
+    return lines.unionByName(o.where("o_orderkey = 0").select(F.lit(REFUND_HEADER).alias("value")))
+
+
+register(
+    "refund_csv",
+    lambda s, d: files.refunds_from_lines(_refund_lines(s, d), REFUND_HEADER),
+    """
+SELECT CAST(o_custkey AS VARCHAR) AS account_cd, 'S' || o_orderkey AS subscription_guid
+     , CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS refund_dt
+     , CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority || ', please' END AS account_note
+FROM orders""",
+)
+
+register(
+    "alert_rows",
+    lambda s, d: files.alert_rows(files.alert_projection(_hourly(s, d)), 2),
+    f"""WITH alerts AS ({ORACLES["anomaly_hourly_alert"]}), n AS (SELECT count(*) AS total FROM alerts)
+SELECT alerts.*, n.total FROM alerts, n
+ORDER BY {", ".join(f"{k} NULLS FIRST" for k in range(1, 10))} LIMIT 2""",
+)

@@ -12,10 +12,28 @@ from pyspark.sql import types as T
 from paylens.functions import fixed_values as fv
 
 
+#: byte order mark that some exports start with
+MARK = "\ufeff"
+
+
 def normalize_header(name: str) -> str:
     return name.lstrip("﻿").strip().replace(" ", "_").lower()
 
 
+def report_header(line: str) -> tuple[list[str], T.StructType]:
+    """The header's texts and a schema of their normalised names."""
+    raw = next(csv.reader([line]))
+    return raw, T.StructType([T.StructField(normalize_header(h), T.StringType()) for h in raw])
+
+
+def without_headers(rows: DataFrame, raw: Sequence[str]) -> DataFrame:
+    """Rows that do not repeat the header, which several files each bring along."""
+    is_header = F.lit(True)
+    for n, h in zip(rows.columns, raw, strict=True):
+        is_header &= F.trim(F.translate(f"`{n}`", MARK, "")) == F.lit(h.replace(MARK, "").strip())
+    return rows.where(~F.coalesce(is_header, F.lit(False)))
+
+
 def read_report_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """Report with a junk first row and the header in the second.
 
@@ -26,21 +44,24 @@ def read_report_csv(spark: SparkSession, path: str, infer: bool = True) -> DataF
     lead = [r.value for r in spark.read.text(path).limit(2).collect()]
     if len(lead) < 2:
         raise ValueError("report has fewer than 2 lines: a junk row and a header are needed")
-    raw = next(csv.reader([lead[1]]))
-    names = [normalize_header(h) for h in raw]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
-    is_header = F.lit(True)
-    for n, h in zip(names, raw, strict=True):
-        is_header &= F.col(f"`{n}`") == F.lit(h)
-    rows = rows.where(~F.coalesce(is_header, F.lit(False)))
+    raw, schema = report_header(lead[1])
+    rows = without_headers(spark.read.schema(schema).csv(path, header=True, enforceSchema=True), raw)
+    return infer_types(rows) if infer else rows
+
+
+def report_from_lines(lines: DataFrame, header: str, infer: bool = True) -> DataFrame:
+    """The same for lines of text (`value`) without the files' junk rows."""
+    raw, schema = report_header(header)
+    parsed = lines.where(F.trim("value") != "").select(F.from_csv("value", schema.toDDL()).alias("row")).select("row.*")
+    rows = without_headers(parsed, raw)
     return infer_types(rows) if infer else rows
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Longs and doubles where every value of a text column is one.
 
-    One aggregate over all columns decides; leading zeros stay text.
+    One aggregate over all columns decides; leading zeros stay text. The casts
+    may run before earlier filters, so that they do not fail on dropped rows.
     """
     names = df.columns
 
@@ -63,7 +84,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(names):
         kind = "bigint" if found[f"l{i}"] else "double" if found[f"d{i}"] else "string"
         v = F.col(f"`{c}`")
-        cols.append((F.nullif(F.trim(v), F.lit("")).cast(kind) if kind != "string" else v).alias(c))
+        cols.append((F.nullif(F.trim(v), F.lit("")).try_cast(kind) if kind != "string" else v).alias(c))
     return df.select(*cols)
 
 
@@ -141,16 +162,27 @@ def row_range(df: DataFrame, start: int, n: int) -> DataFrame:
 REFUND_COLUMNS = ("account_cd", "subscription_guid", "refund_dt", "account_note")
 
 
-def read_refund_csv(spark: SparkSession, path: str) -> DataFrame:
+def refund_requests(raw: DataFrame) -> DataFrame:
     """Refund requests: marks and blanks around headers tolerated, NULL is ''."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
-    out = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
+    out = raw.toDF(*[c.replace(MARK, "").strip() for c in raw.columns])
     for needed in REFUND_COLUMNS:
         if needed not in out.columns:
             raise ValueError(f"CSV must have column: {needed}")
     return out.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in out.columns])
 
 
+def read_refund_csv(spark: SparkSession, path: str) -> DataFrame:
+    return refund_requests(spark.read.csv(path, header=True, encoding="UTF-8"))
+
+
+def refunds_from_lines(lines: DataFrame, header: str) -> DataFrame:
+    """Refund requests from lines of text (`value`); lines that repeat the header are dropped."""
+    raw = next(csv.reader([header]))
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in raw])
+    parsed = lines.where(F.trim("value") != "").select(F.from_csv("value", schema.toDDL()).alias("row")).select("row.*")
+    return refund_requests(without_headers(parsed, raw))
+
+
 LOG_COLUMNS = (
     "account_cd", "subscription_guid", "subscription_state", "note_added", "billing_cleared",
     "refunded_invoice_numbers", "dry_run", "error",
@@ -198,15 +230,24 @@ def alert_projection(alerts: DataFrame) -> DataFrame:
     )
 
 
+def alert_rows(alerts: DataFrame, max_rows: int, order: Sequence[str] = ()) -> DataFrame:
+    """The first ``max_rows`` alerts and, in each, the number of all as `total`.
+
+    Without an order all columns give one, so that the page is always the same.
+    """
+    shown = alerts.orderBy(*(order or alerts.columns)).limit(max_rows)
+    return shown.withColumn("total", alerts.agg(F.count(F.lit(1))).scalar())
+
+
 def alert_report(
     alerts: DataFrame, max_rows: int = 25, order: Sequence[str] = ()
 ) -> Mapping[str, object]:
-    """First rows, total count and a message; never more than ``max_rows`` rows
-    reach the driver."""
-    total = alerts.count()
-    if total == 0:
+    """First rows, total count and a message in one job; never more than
+    ``max_rows`` rows reach the driver."""
+    rows = [r.asDict() for r in alert_rows(alerts, max_rows, order).collect()]
+    if not rows:
         return {"message": "No anomalies.", "total": 0, "rows": []}
-    shown = alerts.orderBy(*order) if order else alerts
-    rows = [r.asDict() for r in shown.limit(max_rows).collect()]
+    total = rows[0]["total"]
+    rows = [{k: v for k, v in r.items() if k != "total"} for r in rows]
     cut = f" (first {min(max_rows, total)} of {total} rows)" if total > max_rows else ""
     return {"message": f"Rows: {total}{cut}", "total": total, "rows": rows}

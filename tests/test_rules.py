@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks import classify_queries, gateway_queries  # noqa: F401
 from checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -1,13 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed per cell (source, language, topic). Raking scales the cells'
-weights to each marginal in turn until all three hold; a document's calibrated
-probability is its cell's fitted weight over the cell's tokens, scaled so that
-the largest is 1. Documents are then kept where a seeded hash of their id lies
-below it. Only the cells, an aggregate, are iterated on.
-
-The targets are shares of the marginals tempered by a power: 1 keeps the corpus
-as it is, 0 makes all values equal. A given target table replaces them.
+Tokens are summed per cell (source, language, topic). The targets are shares of
+the marginals tempered by a power: 1 keeps the corpus as it is, 0 makes all
+values equal.
+
+The scale comes from a token budget, never from the rarest cell. A value that
+has fewer tokens than the budget times its share gives all it has, and the other
+values of its dimension share the rest in the proportions of their targets.
+Without a given budget it is the largest at which, in every dimension, the
+tokens missing from such values are at most SHORT of those drawn. Raking then
+fits the cells' drawn tokens to these marginals in turn, none above the cell's
+tokens, and a document's probability is its cell's drawn tokens over the cell's
+tokens. Documents are kept where a seeded hash of their id lies below it.
+
+Only the cells, an aggregate, are iterated on. The driver sees each dimension's
+values as a histogram of their supply over their target, in steps of 1/BINS of
+the logarithm, whose size does not grow with the values.
 
 Defined results: null source, language or topic is a value of its own; a null
 text has no tokens; cells without tokens keep their documents; repeated rows share
@@ -16,6 +24,7 @@ one fate; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +34,10 @@ from paylens.llm.common import Scratch, seeded_unit
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.9}
-ROUNDS = 12
+SHORT = 0.01
+BINS = 4096
+TOLERANCE = 1e-3
+ROUNDS = 96
 ROUNDS_PER_PLAN = 4
 
 
@@ -44,31 +56,92 @@ def topic(text: Column) -> Column:
     )
 
 
-def rake(scratch: Scratch, cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """`cells` (dimensions, tokens) with the fitted weight `fitted`, of the same sum as tokens."""
-    dims = list(powers)
+class Supply:
+    """Supplies and target shares of one dimension's values, by rising ratio of the two."""
+
+    def __init__(self, values: DataFrame) -> None:
+        step = F.floor(F.log(F.col("supply") / F.col("target")) * BINS)
+        bins = values.groupBy(step).agg(F.sum("supply").alias("supply"), F.sum("target").alias("target")).collect()
+        self.bins = sorted(((r["supply"], r["target"]) for r in bins), key=lambda b: b[0] / b[1])
+
+    def widest(self, short: float) -> float:
+        """The largest budget from which values miss at most the share `short`."""
+        supply = target = budget = 0.0
+        for s, t in self.bins:
+            if supply and target - supply * t / s > short:
+                break
+            supply, target = supply + s, target + t
+            budget = supply / (target - short) if target > short else math.inf
+        return min(budget, sum(s for s, _ in self.bins))
+
+    def scale(self, budget: float) -> float:
+        """c for which min(supply, c * target) sums to the budget."""
+        supply, target, c = 0.0, 0.0, budget
+        for s, t in self.bins:
+            if supply + s / t * (1 - target) > budget:
+                break
+            supply, target = supply + s, target + t
+            c = (budget - supply) / (1 - target) if 1 - target > 1e-12 else math.inf
+        return max(c, 0.0)
+
+
+def gap(cells: DataFrame, budget: float) -> float:
+    """The largest share of the drawn tokens that is out of place in a dimension."""
+    off = [
+        cells.groupBy(d).agg(F.sum("fitted").alias("is"), F.first(f"goal_{d}").alias("goal"))
+        .agg((F.sum(F.abs(F.col("is") - F.col("goal"))) / F.lit(2 * budget)).alias("off"))
+        for d in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(scratch: Scratch, cells: DataFrame, powers: dict[str, float], budget: float | None = None) -> DataFrame:
+    """`cells` (dimensions, tokens) with the tokens to draw, `fitted`, at most the cell's.
+
+    `budget` is a share of all tokens.
+    """
     whole = scratch.table(cells.filter("tokens > 0").withColumn("fitted", F.col("tokens").cast("double")), "cells-0")
-    for d in dims:
-        # a tempered share of each value of the dimension, of the same total
-        share = whole.groupBy(d).agg(F.sum("tokens").cast("double").alias("t"))
-        sums = share.agg(F.sum("t").alias("all"), F.sum(F.pow("t", F.lit(powers[d]))).alias("tempered")).first()
-        target = F.pow("t", F.lit(powers[d])) * F.lit((sums["all"] or 0.0) / (sums["tempered"] or 1.0))
-        named = share.select(F.col(d).alias("value"), target.alias(f"target_{d}"))
-        whole = whole.join(named, whole[d].eqNullSafe(named["value"]), "left").drop("value")
-    whole = scratch.table(whole, "cells-1")
-    for done in range(0, rounds, ROUNDS_PER_PLAN):
-        steps = [d for _ in range(min(ROUNDS_PER_PLAN, rounds - done)) for d in dims]
+    total = float(whole.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return whole
+    shares, supplies = {}, {}
+    for d in DIMENSIONS:
+        values = whole.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("supply"))
+        values = values.withColumn("weight", F.pow(F.col("supply") / F.lit(total), F.lit(float(powers[d]))))
+        weights = values.agg(F.sum("weight")).first()[0]
+        shares[d] = scratch.table(values.select("value", "supply", (F.col("weight") / F.lit(weights)).alias("target")), f"values-{d}")
+        supplies[d] = Supply(shares[d])
+    drawn = min(s.widest(SHORT) for s in supplies.values()) if budget is None else total * budget
+    for d in DIMENSIONS:
+        goal = F.least("supply", F.col("target") * F.lit(supplies[d].scale(drawn)))
+        goals = shares[d].select("value", goal.alias(f"goal_{d}"))
+        whole = whole.join(goals, whole[d].eqNullSafe(goals["value"])).drop("value")
+    whole = scratch.table(whole.withColumn("fitted", F.col("fitted") * F.lit(drawn / total)), "cells-1")
+    before = math.inf
+    for done in range(0, ROUNDS, ROUNDS_PER_PLAN):
         whole = reduce(
-            lambda w, d: w.withColumn("fitted", F.col("fitted") * F.col(f"target_{d}") / F.sum("fitted").over(Window.partitionBy(d))),
-            steps,
+            lambda w, d: w.withColumn(
+                "fitted", F.least(F.col("tokens").cast("double"), F.col("fitted") * F.col(f"goal_{d}") / F.sum("fitted").over(Window.partitionBy(d)))
+            ),
+            DIMENSIONS * ROUNDS_PER_PLAN,
             whole,
         )
         whole = scratch.table(whole, f"cells-{done + 2}")
-    return whole.drop(*(f"target_{d}" for d in dims))
+        off = gap(whole, drawn)
+        # targets that contradict each other stop getting closer
+        if off <= TOLERANCE or off > 0.99 * before:
+            break
+        before = off
+    return whole.drop(*(f"goal_{d}" for d in DIMENSIONS))
+
 
+def mix(scratch: Scratch, docs: DataFrame, powers: dict[str, float] | None = None, seed: int = 0, budget: float | None = None) -> DataFrame:
+    """All columns of the documents drawn, with their `probability` and `fitted_share`.
 
-def mix(scratch: Scratch, docs: DataFrame, powers: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """All columns of the documents drawn, with their `probability` and `fitted_share`."""
+    `budget`: the share of all tokens to draw, instead of the largest that meets the targets.
+    """
+    if budget is not None and not 0 < budget <= 1:
+        raise ValueError("the budget is a share of the tokens, above 0 and at most 1")
     powers = powers or POWERS
     columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]
@@ -77,12 +150,12 @@ def mix(scratch: Scratch, docs: DataFrame, powers: dict[str, float] | None = Non
         {"source": at["source"], "lang": at["lang"], "topic": topic(F.coalesce(at["text"], F.lit("")))}
     )
     cells = inner.withColumn("tokens", n_words(at["text"])).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    fitted = rake(scratch, cells, powers)
-    most = fitted.agg(F.max(F.col("fitted") / F.col("tokens")).alias("m"), F.sum("fitted").alias("s")).first()
+    fitted = rake(scratch, cells, powers, budget)
+    drawn_tokens = fitted.agg(F.sum("fitted")).first()[0]
     fitted = fitted.select(
         *(F.col(d).alias(f"f_{d}") for d in DIMENSIONS),
-        (F.col("fitted") / F.col("tokens") / F.lit(most["m"] or 1.0)).alias("probability"),
-        (F.col("fitted") / F.lit(most["s"] or 1.0)).alias("fitted_share"),
+        (F.col("fitted") / F.col("tokens")).alias("probability"),
+        (F.col("fitted") / F.lit(drawn_tokens or 1.0)).alias("fitted_share"),
     )
     same = reduce(lambda a, b: a & b, (inner[d].eqNullSafe(F.col(f"f_{d}")) for d in DIMENSIONS))
     joined = inner.join(fitted, same, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))

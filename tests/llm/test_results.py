@@ -294,6 +294,23 @@ def test_mixing_meets_the_marginals(spark):
     assert mix(Scratch(spark, "t"), frame(spark, [])).count() == 0
 
 
+def corpus(spark, *groups):
+    """Groups of (documents, words, source, lang, text ending)."""
+    rows = [(text, lang, source) for n, words, source, lang, end in groups for text in [" ".join(["w"] * (words - len(end.split())) + [end]).strip()] * n]
+    return spark.createDataFrame([(i, t, lang, s) for i, (t, lang, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+
+
+def test_mixing_scale_does_not_hang_on_a_tiny_source(spark):
+    hot = corpus(spark, (4000, 50, "hot", "en", ""), (1, 20, "tiny", "en", ""), (1, 20, None, "en", ""), (1, 20, "hot", None, ""))
+    kept = Counter(r["source"] for r in mix(Scratch(spark, "t"), hot).collect())
+    assert kept["hot"] > 3900 and kept["tiny"] == 1 and kept[None] == 1
+    # two sources of which one has too little for its share: it gives all, the budget is met by the other
+    uneven = corpus(spark, (900, 20, "a", "en", ""), (100, 20, "b", "en", ""))
+    half = mix(Scratch(spark, "t"), uneven, {"source": 0.0, "lang": 1.0, "topic": 1.0}, budget=0.5).collect()
+    assert {r["source"]: round(r["probability"], 3) for r in half} == {"a": 0.444, "b": 1.0}
+    assert 430 < len(half) < 570
+
+
 # toxicity
 
 

@@ -2,7 +2,10 @@
 
 Tokens are summed per cell (source, language, topic). The targets are shares of
 the marginals tempered by a power: 1 keeps the corpus as it is, 0 makes all
-values equal.
+values equal. A table of targets (dimension, value, weight) replaces them for
+the dimensions it names; it must name all their values, those of weight 0 are
+not drawn. The topic is a column or an expression that the caller gives, or else
+a coarse guess from the form of the text.
 
 The scale comes from a token budget, never from the rarest cell. A value that
 has fewer tokens than the budget times its share gives all it has, and the other
@@ -13,6 +16,12 @@ fits the cells' drawn tokens to these marginals in turn, none above the cell's
 tokens, and a document's probability is its cell's drawn tokens over the cell's
 tokens. Documents are kept where a seeded hash of their id lies below it.
 
+Raking stops when no dimension has more than TOLERANCE of the drawn tokens out
+of place, when a plan of rounds brings it no closer by a hundredth, as with
+targets that contradict each other (a source of one language only), or after
+ROUNDS. What is then still out of place is the mixture's `residual`. Above the
+tolerance it is an error under given targets and a warning under derived ones.
+
 Only the cells, an aggregate, are iterated on. The driver sees each dimension's
 values as a histogram of their supply over their target, in steps of 1/BINS of
 the logarithm, whose size does not grow with the values.
@@ -25,6 +34,8 @@ one fate; an empty table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,6 +96,35 @@ class Supply:
         return max(c, 0.0)
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """Cells (dimensions, tokens, fitted), the share of the drawn tokens out of place, and marginals.
+
+    `marginals` has dimension, value, target and drawn, both as shares; None of an empty corpus.
+    """
+
+    cells: DataFrame
+    residual: float
+    marginals: DataFrame | None
+
+
+class TargetsContradict(ValueError):
+    """The targets cannot hold together on this corpus."""
+
+
+def given_weights(cells: DataFrame, targets: DataFrame, d: str) -> DataFrame:
+    """(value, weight) of one dimension, checked against the cells' values."""
+    weights = targets.filter(F.col("dimension") == d).groupBy("value").agg(F.sum("weight").cast("double").alias("weight"), F.count("*").alias("n"))
+    wrong = weights.filter("n > 1 or weight is null or not (weight >= 0 and weight < double('infinity'))")
+    if not wrong.isEmpty():
+        raise ValueError(f"{d}: the weight of {wrong.first()['value']!r} is repeated, null, negative or not finite")
+    values = cells.select(F.col(d).alias("is")).distinct()
+    unnamed = values.join(weights, values["is"].eqNullSafe(weights["value"]), "left_anti")
+    if not unnamed.isEmpty():
+        raise ValueError(f"{d}: no target for {unnamed.first()['is']!r}")
+    return weights.select("value", "weight")
+
+
 def gap(cells: DataFrame, budget: float) -> float:
     """The largest share of the drawn tokens that is out of place in a dimension."""
     off = [
@@ -95,19 +135,41 @@ def gap(cells: DataFrame, budget: float) -> float:
     return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
 
 
-def rake(scratch: Scratch, cells: DataFrame, powers: dict[str, float], budget: float | None = None) -> DataFrame:
+def rake(
+    scratch: Scratch, cells: DataFrame, powers: dict[str, float], budget: float | None = None, targets: DataFrame | None = None
+) -> Mixture:
     """`cells` (dimensions, tokens) with the tokens to draw, `fitted`, at most the cell's.
 
-    `budget` is a share of all tokens.
+    `budget` is a share of the tokens of cells that targets let in.
     """
     whole = scratch.table(cells.filter("tokens > 0").withColumn("fitted", F.col("tokens").cast("double")), "cells-0")
+    given = {}
+    if targets is not None:
+        targets = scratch.table(targets.select("dimension", F.col("value").cast("string").alias("value"), "weight"), "targets")
+        named = {r[0] for r in targets.select("dimension").distinct().limit(len(DIMENSIONS) + 1).collect()}
+        if not named <= set(DIMENSIONS):
+            raise ValueError(f"targets of {sorted(map(str, named - set(DIMENSIONS)))}; the dimensions are {DIMENSIONS}")
+        given = {d: given_weights(whole, targets, d) for d in DIMENSIONS if d in named}
+    out = whole
+    for d, weights in given.items():
+        none = weights.filter("weight = 0")
+        out = out.join(none, out[d].eqNullSafe(none["value"]), "left_anti")
+    left_out = whole.join(out.select(*(F.col(d).alias(f"o_{d}") for d in DIMENSIONS)), _same(whole, "o_"), "left_anti") if given else None
+    whole = scratch.table(out, "cells-in") if given else whole
     total = float(whole.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return whole
+        return Mixture(cells.filter("tokens > 0").withColumn("fitted", F.lit(0.0)), 0.0, None)
     shares, supplies = {}, {}
     for d in DIMENSIONS:
         values = whole.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("supply"))
-        values = values.withColumn("weight", F.pow(F.col("supply") / F.lit(total), F.lit(float(powers[d]))))
+        if d in given:
+            weights = given[d].filter("weight > 0").withColumnRenamed("value", "named")
+            absent = weights.join(values, weights["named"].eqNullSafe(values["value"]), "left_anti")
+            if not absent.isEmpty():
+                raise TargetsContradict(f"{d}: no tokens for the target of {absent.first()['named']!r}")
+            values = values.join(weights, values["value"].eqNullSafe(weights["named"])).drop("named")
+        else:
+            values = values.withColumn("weight", F.pow(F.col("supply") / F.lit(total), F.lit(float(powers[d]))))
         weights = values.agg(F.sum("weight")).first()[0]
         shares[d] = scratch.table(values.select("value", "supply", (F.col("weight") / F.lit(weights)).alias("target")), f"values-{d}")
         supplies[d] = Supply(shares[d])
@@ -132,13 +194,42 @@ def rake(scratch: Scratch, cells: DataFrame, powers: dict[str, float], budget: f
         if off <= TOLERANCE or off > 0.99 * before:
             break
         before = off
-    return whole.drop(*(f"goal_{d}" for d in DIMENSIONS))
+    if off > TOLERANCE:
+        said = f"targets contradict each other: {off:.4f} of the drawn tokens are out of place after {done + ROUNDS_PER_PLAN} rounds"
+        if given:
+            raise TargetsContradict(said)
+        warnings.warn(said, stacklevel=3)
+    drawn = whole.agg(F.sum("fitted")).first()[0]
+    marginals = [
+        whole.groupBy(F.col(d).alias("v")).agg((F.sum("fitted") / F.lit(drawn)).alias("drawn"))
+        .join(shares[d], F.col("v").eqNullSafe(F.col("value")))
+        .select(F.lit(d).alias("dimension"), F.col("v").cast("string").alias("value"), "target", "drawn")
+        for d in DIMENSIONS
+    ]
+    fitted = whole.select(*DIMENSIONS, "tokens", "fitted")
+    if left_out is not None:
+        fitted = fitted.unionByName(left_out.select(*DIMENSIONS, "tokens", F.lit(0.0).alias("fitted")))
+    return Mixture(fitted, off, reduce(DataFrame.unionByName, marginals))
 
 
-def mix(scratch: Scratch, docs: DataFrame, powers: dict[str, float] | None = None, seed: int = 0, budget: float | None = None) -> DataFrame:
+def _same(left: DataFrame, prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, (left[d].eqNullSafe(F.col(f"{prefix}{d}")) for d in DIMENSIONS))
+
+
+def mix(
+    scratch: Scratch,
+    docs: DataFrame,
+    powers: dict[str, float] | None = None,
+    seed: int = 0,
+    budget: float | None = None,
+    targets: DataFrame | None = None,
+    topics: Column | str | None = None,
+) -> DataFrame:
     """All columns of the documents drawn, with their `probability` and `fitted_share`.
 
     `budget`: the share of all tokens to draw, instead of the largest that meets the targets.
+    `targets`: weights (dimension, value, weight) instead of the powers. `topics`: a column of
+    `docs` or an expression over them instead of the guess.
     """
     if budget is not None and not 0 < budget <= 1:
         raise ValueError("the budget is a share of the tokens, above 0 and at most 1")
@@ -146,18 +237,17 @@ def mix(scratch: Scratch, docs: DataFrame, powers: dict[str, float] | None = Non
     columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]
     at = {c: F.col(names[columns.index(c)]) for c in ("doc_id", "text", "source", "lang")}
-    inner = docs.toDF(*names).withColumns(
-        {"source": at["source"], "lang": at["lang"], "topic": topic(F.coalesce(at["text"], F.lit("")))}
-    )
+    guess = topic(F.coalesce(F.col("text"), F.lit("")))
+    subject = guess if topics is None else F.col(topics) if isinstance(topics, str) else topics
+    inner = docs.select("*", subject.alias("__topic")).toDF(*names, "topic").withColumns({"source": at["source"], "lang": at["lang"]})
     cells = inner.withColumn("tokens", n_words(at["text"])).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    fitted = rake(scratch, cells, powers, budget)
+    fitted = rake(scratch, cells, powers, budget, targets).cells
     drawn_tokens = fitted.agg(F.sum("fitted")).first()[0]
     fitted = fitted.select(
         *(F.col(d).alias(f"f_{d}") for d in DIMENSIONS),
         (F.col("fitted") / F.col("tokens")).alias("probability"),
         (F.col("fitted") / F.lit(drawn_tokens or 1.0)).alias("fitted_share"),
     )
-    same = reduce(lambda a, b: a & b, (inner[d].eqNullSafe(F.col(f"f_{d}")) for d in DIMENSIONS))
-    joined = inner.join(fitted, same, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    joined = inner.join(fitted, _same(inner, "f_"), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     drawn = joined.filter(seeded_unit(seed, at["doc_id"]) < F.col("probability"))
     return drawn.select(*names, "topic", "probability", "fitted_share").toDF(*columns, "mix_topic", "probability", "fitted_share")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paylens.llm import hash_forest, metric_tree, minhash, packing, queries, sharding, substring_dedup, token_files, toxicity
 from paylens.llm.common import Scratch
@@ -311,6 +313,41 @@ def test_mixing_scale_does_not_hang_on_a_tiny_source(spark):
     assert 430 < len(half) < 570
 
 
+def marginals_of(rows):
+    """Drawn shares of tokens, as fitted_share of each cell gives them."""
+    cells = {(r["source"], r["lang"], r["mix_topic"]): r["fitted_share"] for r in rows}
+    shares = [defaultdict(float) for _ in range(3)]
+    for cell, share in cells.items():
+        for of, value in zip(shares, cell, strict=True):
+            of[value] += share
+    return shares
+
+
+def test_mixing_meets_given_targets(spark):
+    groups = [(60 + 40 * k, 20, s, lang, end) for k, (s, lang, end) in enumerate(itertools.product("ab", "xy", ("", "7")))]
+    docs = corpus(spark, *groups).withColumn("kind", F.when(F.col("text").endswith("7"), "seven"))
+    weights = [("source", "a", 3.0), ("source", "b", 1.0), ("lang", "x", 2.0), ("lang", "y", 2.0), ("topic", "seven", 1.0), ("topic", None, 4.0)]
+    targets = spark.createDataFrame(weights, "dimension string, value string, weight double")
+    source, lang, kind = marginals_of(mix(Scratch(spark, "t"), docs, budget=0.2, targets=targets, topics="kind").collect())
+    assert source == pytest.approx({"a": 0.75, "b": 0.25}, abs=2e-3)
+    assert lang == pytest.approx({"x": 0.5, "y": 0.5}, abs=2e-3)
+    assert kind == pytest.approx({"seven": 0.2, None: 0.8}, abs=2e-3)
+    with pytest.raises(ValueError, match="no target for 'b'"):
+        mix(Scratch(spark, "t"), docs, targets=targets.filter("value = 'a'"))
+    none = targets.filter("dimension = 'source'").withColumn("weight", F.expr("if(value = 'a', 0d, 1d)"))
+    assert {r["source"] for r in mix(Scratch(spark, "t"), docs, targets=none).collect()} == {"b"}
+
+
+def test_mixing_tells_of_contradicting_targets(spark):
+    # source a is only in x, b only in y
+    docs = corpus(spark, (60, 20, "a", "x", ""), (40, 20, "b", "y", ""))
+    with pytest.warns(UserWarning, match="contradict"):
+        mix(Scratch(spark, "t"), docs, budget=0.5)
+    weights = [("source", "a", 1.0), ("source", "b", 1.0), ("lang", "x", 3.0), ("lang", "y", 1.0)]
+    with pytest.raises(ValueError, match="contradict"):
+        mix(Scratch(spark, "t"), docs, budget=0.5, targets=spark.createDataFrame(weights, "dimension string, value string, weight double"))
+
+
 # toxicity
 
 

@@ -14,7 +14,8 @@ Without a given budget it is the largest at which, in every dimension, the
 tokens missing from such values are at most SHORT of those drawn. Raking then
 fits the cells' drawn tokens to these marginals in turn, none above the cell's
 tokens, and a document's probability is its cell's drawn tokens over the cell's
-tokens. Documents are kept where a seeded hash of their id lies below it.
+tokens. Documents are kept where a seeded hash of their id and text lies below
+it, for null ids also of their place in the input.
 
 Raking stops when no dimension has more than TOLERANCE of the drawn tokens out
 of place, when a plan of rounds brings it no closer by a hundredth, as with
@@ -27,8 +28,8 @@ values as a histogram of their supply over their target, in steps of 1/BINS of
 the logarithm, whose size does not grow with the values.
 
 Defined results: null source, language or topic is a value of its own; a null
-text has no tokens; cells without tokens keep their documents; repeated rows share
-one fate; an empty table gives no rows; other columns pass through.
+text has no tokens; cells without tokens keep their documents; rows of the same id
+and text share one fate, without an id each row has its own; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -240,6 +241,8 @@ def mix(
     guess = topic(F.coalesce(F.col("text"), F.lit("")))
     subject = guess if topics is None else F.col(topics) if isinstance(topics, str) else topics
     inner = docs.select("*", subject.alias("__topic")).toDF(*names, "topic").withColumns({"source": at["source"], "lang": at["lang"]})
+    place = F.when(at["doc_id"].isNull(), F.monotonically_increasing_id())
+    inner = inner.withColumn("u", seeded_unit(seed, at["doc_id"], F.xxhash64(at["text"]), place))
     cells = inner.withColumn("tokens", n_words(at["text"])).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     fitted = rake(scratch, cells, powers, budget, targets).cells
     drawn_tokens = fitted.agg(F.sum("fitted")).first()[0]
@@ -249,5 +252,5 @@ def mix(
         (F.col("fitted") / F.lit(drawn_tokens or 1.0)).alias("fitted_share"),
     )
     joined = inner.join(fitted, _same(inner, "f_"), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    drawn = joined.filter(seeded_unit(seed, at["doc_id"]) < F.col("probability"))
+    drawn = joined.filter(F.col("u") < F.col("probability"))
     return drawn.select(*names, "topic", "probability", "fitted_share").toDF(*columns, "mix_topic", "probability", "fitted_share")

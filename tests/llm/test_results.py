@@ -348,6 +348,15 @@ def test_mixing_tells_of_contradicting_targets(spark):
         mix(Scratch(spark, "t"), docs, budget=0.5, targets=spark.createDataFrame(weights, "dimension string, value string, weight double"))
 
 
+def test_mixing_draws_rows_of_one_id_apart(spark):
+    docs = corpus(spark, (1000, 20, "a", "en", "")).withColumn("text", F.concat("text", F.lit(" "), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")))
+    for one in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        assert 430 < mix(Scratch(spark, "t"), docs.withColumn("doc_id", one), budget=0.5).count() < 570
+    same = docs.withColumn("doc_id", F.lit(7).cast("long")).withColumn("text", F.lit("one text"))
+    assert mix(Scratch(spark, "t"), same, budget=0.5).count() in (0, 1000)
+    assert 430 < mix(Scratch(spark, "t"), same.withColumn("doc_id", F.lit(None).cast("long")), budget=0.5).count() < 570
+
+
 # toxicity
 
 

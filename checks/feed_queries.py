@@ -484,3 +484,11 @@ register(
 SELECT alerts.*, n.total FROM alerts, n
 ORDER BY {", ".join(f"{k} NULLS FIRST" for k in range(1, 10))} LIMIT 2""",
 )
+
+register(
+    "alert_page",
+    lambda s, d: files.alert_rows(files.alert_projection(_hourly(s, d)), 25),
+    f"""WITH alerts AS ({ORACLES["anomaly_hourly_alert"]}), n AS (SELECT count(*) AS total FROM alerts)
+SELECT alerts.*, n.total FROM alerts, n
+ORDER BY {", ".join(f"{k} NULLS FIRST" for k in range(1, 10))} LIMIT 25""",
+)

@@ -278,6 +278,16 @@ def test_sharding_of_odd_rows(spark):
     assert sharding.interleave(Scratch(spark, "t"), frame(spark, []), 5).count() == 0
 
 
+def test_line_dedup_of_planted_short_lines(spark):
+    rng = random.Random(3)
+    short, tail = "Share this page", "Read more about it here"
+    texts = [f"{prose(rng, 12)}\n{short}\n{prose(rng, 12)}\n{short}\n{tail}" for _ in range(30)]
+    rows = remove_repeated_lines(Scratch(spark, "t"), frame(spark, texts)).collect()
+    # three words between unique lines stay, eight in two lines go, but for the first copy
+    assert {r["doc_id"]: r["text"].count(short) for r in rows} == {0: 2} | dict.fromkeys(range(1, 30), 1)
+    assert [r["doc_id"] for r in rows if tail in r["text"]] == [0]
+
+
 # mixing
 
 

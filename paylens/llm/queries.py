@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylens.llm import hash_forest, metric_tree, packing, sharding, substring_dedup, token_files, toxicity
+from paylens.llm import conversation_repair, hash_forest, metric_tree, packing, sharding, simhash, spelling, substring_dedup, token_files, toxicity
 from paylens.llm.common import Scratch, documents, text_of
 from paylens.llm.line_dedup import remove_repeated_lines
 from paylens.llm.minhash import NearDuplicates
@@ -94,6 +94,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repair = conversation_repair.Repair(Scratch(spark, "op11"), conversation_repair.damage(given), given)
+    return repair.report()
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(Scratch(spark, "op12"), documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(Scratch(spark, "op13"), documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,5 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_metric_tree,
         op10_minhash,
+        op11_conversation_repair,
+        op12_simhash,
+        op13_spelling_variants,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,3 +92,137 @@ def nearest(ids: list[int], vectors: np.ndarray, every: int, top: int) -> dict[i
             found = sorted((-scores[i, j], c) for j, c in enumerate(ids) if c != q)[:top]
             out[q] = [(-s, c) for s, c in found]
     return out
+
+
+def damaged_rows(rows):
+    """(conv, turn, role, text) after faults by crc32 modulo 20."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        fault = zlib.crc32(key.encode()) % 20
+        if fault == 1:
+            text = ""
+        elif fault == 2:
+            text = re.sub("[.!?]", "", text)
+        elif fault == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """One conversation's rows in any order: gaps, faults, illegal, cost, audit, repaired rows."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        solid = text.strip(" \t\n\v\f\r")
+        faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    initials = [r[2][:1] for r in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    # least (cost, letters, rows after repair) from each state on; a letter put before strings keeps their order
+    after = {s: (0, "", ()) if s in ("", "a") else None for s in ("", "s", "u", "a")}
+    for i in range(len(rows), -1, -1):
+        now = dict.fromkeys(after)
+        if i == len(rows):
+            now = dict(after)
+        else:
+            _, _, role, text = rows[i]
+            late = faults[i] == "truncated"
+            for s in now:
+                ways = [(3, "D", s, ())]
+                if faults[i] not in ("blank", "duplicate"):
+                    if role and (s, role[0]) in step:
+                        ways.append((late, "K", step[s, role[0]], ((role, text),)))
+                    ways += [(2 + late, "R", step[s, to[0]], ((to, text),)) for to in ("user", "assistant") if (s, to[0]) in step]
+                found = [(c + after[t][0], x + after[t][1], line + after[t][2]) for c, x, t, line in ways if after[t] is not None]
+                now[s] = min(found, default=None)
+        for _ in range(4):
+            for s in now:
+                for to in ("user", "assistant"):
+                    t = step.get((s, to[0]))
+                    if t and now[t] is not None:
+                        way = (2 + now[t][0], "I" + now[t][1], ((to, ""), *now[t][2]))
+                        now[s] = way if now[s] is None else min(now[s], way)
+        after = now
+    cost, audit, lines = after[""]
+    counts = Counter(faults)
+    return (gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit), lines
+
+
+def simhash(text: str | None, words: int = 3) -> int:
+    import xxhash
+
+    found = (text or "").encode().lower().split()
+    grams = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def hamming_groups(prints: list[int], radius: int = 2) -> list[int]:
+    """Smallest index reachable by links, per fingerprint."""
+    distinct = sorted(set(prints))
+    values = np.array(distinct, dtype=np.uint64)
+    group = {x: x for x in distinct}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= radius).tolist():
+            a, b = root(x), root(distinct[j])
+            group[max(a, b)] = min(a, b)
+    first: dict[int, int] = {}
+    return [first.setdefault(root(x), i) for i, x in enumerate(prints)]
+
+
+def spelling_words(docs, least: int = 3):
+    total = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            total[run] += 1
+    return {w: n for w, n in total.items() if n >= least and len(w) >= 5}
+
+
+def spelling_near(words):
+    """Words one edit away, per word."""
+    near = defaultdict(set)
+    masked = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            masked[w[:i], w[i + 1 :]].add(w)
+            shorter = w[:i] + w[i + 1 :]
+            if shorter in words:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for group in masked.values():
+        for w in group:
+            near[w] |= group - {w}
+    return near
+
+
+def spelling_rows(docs):
+    """{word: (form, root, n, n_near, form_n)}"""
+    words = spelling_words(docs)
+    near = spelling_near(words)
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), None if form[w] is None else words[form[w]])
+    return out

@@ -2,12 +2,14 @@
 
 One engine serves every preset (see `paylens.plans.presets`):
 
-    attempts -> daily activity -> x calendar -> one aggregate -> scores -> shape
-
-The daily table is hash-partitioned by key alone. Joining it to the small,
-parameter-sized calendar and grouping by (key, run date) then needs no further
-shuffle, and the current day and its baseline meet in the same group, so there
-is no self-join of daily volumes against baselines.
+    attempts -> daily activity -> running sums -> differences -> scores -> shape
+
+The daily table is hash-partitioned by key alone. Running sums along each key's
+days are read off at the two ends of a run date's lookback; a baseline is the
+difference of the two readings (`paylens.operators.history`). Days, readings and
+run dates of a key lie in one partition, so that nothing is shuffled again,
+nothing is joined, and a daily row is never repeated for the run dates that look
+back on it.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ from paylens.functions import fixed_values as fv
 from paylens.functions import semantics as sem
 from paylens.operators import activity as act
 from paylens.operators import calendar as cal
+from paylens.operators.history import Lookback, between_readings
 from paylens.sources.transactions import txn_scope
 
 SOURCE = "src_system_id"
-# a calendar of this many rows is a few megabytes; larger ones are not hinted
-BROADCAST_CALENDAR_ROWS = 200_000
 
 
 def _zero() -> Column:
@@ -76,6 +77,10 @@ class AnomalySpec:
     def all_keys(self) -> tuple[str, ...]:
         return (SOURCE, *self.keys)
 
+    @property
+    def lookback(self) -> Lookback:
+        return Lookback(self.lookback_months, self.lookback_days, self.same_weekday, self.excluded)
+
     def volume_start(self, window: cal.RunWindow) -> dt.date:
         if self.history_months is not None:
             return cal.add_months(window.start, -self.history_months)
@@ -114,20 +119,6 @@ def daily_volume(
     )
 
 
-def _marked(daily: DataFrame, spec: AnomalySpec, window: cal.RunWindow) -> DataFrame:
-    calendar = cal.marked_calendar(
-        daily.sparkSession,
-        window,
-        spec.lookback_months,
-        spec.lookback_days,
-        spec.same_weekday,
-        spec.excluded,
-    )
-    if cal.calendar_rows(window, spec.lookback_months, spec.lookback_days) <= BROADCAST_CALENDAR_ROWS:
-        calendar = F.broadcast(calendar)
-    return daily.join(calendar, "trans_dt")
-
-
 def _rate(metric: str, spec: AnomalySpec) -> Column:
     """Share of the segment as an integer number of 10**-digits units."""
     unit = spec.scale * 10 ** spec.digits.get(metric, spec.baseline_digits)
@@ -136,15 +127,13 @@ def _rate(metric: str, spec: AnomalySpec) -> Column:
     )
 
 
-def _moments(value: Column, stem: str) -> list[Column]:
-    past = F.when(~F.col("is_current"), value)
-    exact = past.cast("decimal(19,0)")
-    return [
-        F.count(past).alias(f"{stem}_n"),
-        F.sum(past).alias(f"{stem}_s"),
-        F.sum(exact * exact).alias(f"{stem}_ss"),
-        F.max(F.when(F.col("is_current"), value)).alias(f"{stem}_cur"),
-    ]
+def _moments(value: Column, stem: str) -> dict[str, Column]:
+    exact = value.cast("decimal(19,0)")
+    return {
+        f"{stem}_n": F.when(value.isNotNull(), 1).otherwise(0),
+        f"{stem}_s": F.coalesce(value, _zero()),
+        f"{stem}_ss": F.coalesce(exact * exact, F.lit(0).cast("decimal(38,0)")),
+    }
 
 
 def compare_to_history(
@@ -159,60 +148,58 @@ def compare_to_history(
         if key not in spec.null_safe_keys:
             daily = daily.where(F.col(key).isNotNull())
     daily = daily.repartition(*spec.all_keys)
-    marked = _marked(daily, spec, window)
-    current = F.col("is_current")
-
-    aggs = [
-        F.sum(F.when(~current, 1).otherwise(0)).alias("days_seen"),
-        F.max(F.when(current, 1).otherwise(0)).alias("has_current"),
-        F.max("span").alias("span"),
-    ]
+    summed: dict[str, Column] = {"days_seen": F.lit(1)}
+    current: dict[str, Column] = {}
+    if spec.share:
+        daily = daily.withColumns({f"{m}_q": _rate(m, spec) for m in spec.metrics})
     for m in spec.metrics:
+        count = F.col(f"{m}_ct")
+        current[f"{m}_cur"] = count
         if spec.share:
-            marked = marked.withColumn(f"{m}_q", _rate(m, spec))
-            aggs += _moments(F.col(f"{m}_q"), f"{m}_q")
-            aggs += [
-                F.sum(F.when(~current, F.col(f"{m}_ct"))).alias(f"{m}_s"),
-                F.max(F.when(current, F.col(f"{m}_ct"))).alias(f"{m}_cur"),
-            ]
+            summed |= _moments(F.col(f"{m}_q"), f"{m}_q")
+            summed[f"{m}_s"] = count
+            current[f"{m}_q_cur"] = F.col(f"{m}_q")
         else:
-            aggs += _moments(F.col(f"{m}_ct"), m)
+            summed |= _moments(count, m)
     if spec.share:
-        first = f"{spec.metrics[0]}_tot"
-        aggs += [
-            F.sum(F.when(~current, F.col(first))).alias("tot_s"),
-            F.max(F.when(current, F.col(first))).alias("tot_cur"),
-        ]
-    aggs += [
-        F.max(F.when(current, F.col(c))).alias(c) for c in act.example_columns(spec.examples)
-    ]
-    out = marked.groupBy(*spec.all_keys, "run_dt").agg(*aggs)
-    if not spec.dense:
-        out = out.where((F.col("days_seen") > 0) & (F.col("has_current") == 1))
+        summed["tot_s"] = current["tot_cur"] = F.col(f"{spec.metrics[0]}_tot")
+    current |= {c: F.col(c) for c in act.example_columns(spec.examples)}
+    out = between_readings(daily, spec.all_keys, summed, current, window, spec.lookback, spec.dense)
+    if spec.dense and not spec.share:
+        out = out.join(F.broadcast(spec.lookback.spans(daily.sparkSession, window)), "run_dt")
     return out
 
 
 def _segment_history(
     daily: DataFrame, spec: AnomalySpec, window: cal.RunWindow
 ) -> DataFrame:
-    """Per (segment, run date): days with volume, needed to zero-fill shares."""
-    per_day = daily.groupBy(*spec.segment, "trans_dt").agg(
-        *[F.max(f"{m}_tot").alias(f"{m}_tot") for m in spec.metrics]
+    """Per (segment, run date): days with volume, needed to zero-fill shares.
+
+    A segment's days, at most as many as the scan has, are one array, from which
+    each run date takes its lookback: a maximum is no difference of two readings.
+    """
+    totals = [f"{m}_tot" for m in spec.metrics]
+    per_day = daily.groupBy(*spec.segment, "trans_dt").agg(*[F.max(t).alias(t) for t in totals])
+    days = per_day.groupBy(*spec.segment).agg(
+        F.collect_list(F.struct("trans_dt", *totals)).alias("days")
     )
-    marked = _marked(per_day, spec, window)
-    current = F.col("is_current")
-    aggs = [
-        F.sum(F.when(~current, 1).otherwise(0)).alias("seg_days"),
-        F.max(F.when(current, 1).otherwise(0)).alias("seg_current"),
-    ]
-    for m in spec.metrics:
-        tot = F.col(f"{m}_tot")
-        aggs += [
-            F.count(F.when(~current & (tot > 0), 1)).alias(f"{m}_seg_n"),
-            F.max(F.when(~current, tot)).alias(f"{m}_seg_max"),
-            F.max(F.when(current, tot)).alias(f"{m}_seg_cur"),
+    run = F.col("run_dt")
+    runs = days.withColumn("run_dt", F.explode(F.sequence(F.lit(window.start), F.lit(window.end))))
+    runs = runs.withColumns(
+        {
+            "past": F.filter("days", lambda x: spec.lookback.covers(run, x["trans_dt"])),
+            "now": F.get(F.filter("days", lambda x: x["trans_dt"] == run), 0),
+        }
+    )
+    cols = [F.size("past").alias("seg_days"), F.col("now").isNotNull().cast("int").alias("seg_current")]
+    for m, tot in zip(spec.metrics, totals, strict=True):
+        past = F.col("past")[tot]
+        cols += [
+            F.size(F.filter(past, lambda v: v > 0)).alias(f"{m}_seg_n"),
+            F.array_max(past).alias(f"{m}_seg_max"),
+            F.col("now")[tot].alias(f"{m}_seg_cur"),
         ]
-    return marked.groupBy(*spec.segment, "run_dt").agg(*aggs)
+    return runs.select(*spec.segment, "run_dt", *cols)
 
 
 def _hit(diff: Column, std: Column, spec: AnomalySpec) -> Column:

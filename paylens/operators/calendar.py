@@ -70,33 +70,3 @@ def baseline_dates(
     if excluded:
         out = out.where(~F.col("baseline_dt").isin(*excluded))
     return out
-
-
-def marked_calendar(
-    spark: SparkSession,
-    window: RunWindow,
-    months: int | None,
-    days: int | None,
-    same_weekday: bool,
-    excluded: Sequence[dt.date],
-) -> DataFrame:
-    """Baseline pairs plus one (run_dt, run_dt) pair marked as current.
-
-    Joining daily rows to this calendar lets one aggregation see a run date and
-    its baseline together. ``span`` is the number of baseline days.
-    """
-    base = baseline_dates(spark, window, months, days, same_weekday, excluded).select(
-        "run_dt", F.col("baseline_dt").alias("trans_dt"), F.lit(False).alias("is_current")
-    )
-    span = base.groupBy("run_dt").agg(F.count("*").alias("span"))
-    current = run_dates(spark, window).select(
-        "run_dt", F.col("run_dt").alias("trans_dt"), F.lit(True).alias("is_current")
-    )
-    if excluded:
-        current = current.where(~F.col("trans_dt").isin(*excluded))
-    return base.unionByName(current).join(F.broadcast(span), "run_dt")
-
-
-def calendar_rows(window: RunWindow, months: int | None, days: int | None) -> int:
-    """Upper bound of the calendar's row count, known before anything runs."""
-    return window.days * ((days or 31 * (months or 0)) + 1)

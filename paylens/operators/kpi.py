@@ -2,68 +2,17 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions import fixed_values as fv
 from paylens.functions import semantics as sem
-from paylens.operators.subscriptions import plan_parts
+from paylens.operators.filters import Filters, apply_filters
 from paylens.sources.transactions import is_attempt
 
 
-@dataclass(frozen=True)
-class Filters:
-    """Dashboard dimensions; an empty one does not restrict. Ranges inclusive."""
-
-    date_start: dt.date | None = None
-    date_end: dt.date | None = None
-    src_system_id: tuple[int, ...] = ()
-    country_cd: tuple[str, ...] = ()
-    gateway_cd: tuple[str, ...] = ()
-    gateway_region: tuple[str, ...] = ()
-    payment_method_desc: tuple[str, ...] = ()
-    card_brand_nm: tuple[str, ...] = ()
-    plan_cd: tuple[str, ...] = ()
-    plan_tier: tuple[str, ...] = ()
-    trans_type_desc: tuple[str, ...] = ()
-    trans_status_desc: tuple[str, ...] = ()
-    failure_type: tuple[str, ...] = ()
-    origin_desc: tuple[str, ...] = ()
-    dow: tuple[int, ...] = ()  # 1 = Sunday
-    hour: tuple[int, ...] = ()
-
-    def predicates(self, date_col: str = "trans_dt", ts_col: str = "trans_dt_ut") -> list[Column]:
-        derived = {
-            "gateway_region": lambda: sem.market(F.col("gateway_cd")),
-            "plan_tier": lambda: plan_parts(F.col("plan_cd"), F.col("plan_cd"))["plan_dur"],
-            "dow": lambda: F.dayofweek(date_col),
-            "hour": lambda: F.hour(ts_col),
-        }
-        out = []
-        if self.date_start:
-            out.append(F.col(date_col) >= F.lit(self.date_start))
-        if self.date_end:
-            out.append(F.col(date_col) <= F.lit(self.date_end))
-        for f in fields(self):
-            values = getattr(self, f.name)
-            if f.name.startswith("date_") or not values:
-                continue
-            column = derived[f.name]() if f.name in derived else F.col(f.name)
-            out.append(column.isin(*values))
-        return out
-
-
-def apply_filters(df: DataFrame, filters: Filters, **columns: str) -> DataFrame:
-    """Each dimension is a predicate of its own, so raw ones reach the scan."""
-    for predicate in filters.predicates(**columns):
-        df = df.where(predicate)
-    return df
-
-
 def filter_values(df: DataFrame, dimension: str) -> DataFrame:
     """Distinct values a multi-select offers."""
     return df.select(dimension).where(F.col(dimension).isNotNull()).distinct()

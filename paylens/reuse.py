@@ -15,6 +15,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def job_folder(spark: SparkSession, job: str) -> str:
+    """A folder of its own for one job, below the shared one."""
+    return f"{_shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back.
 
@@ -23,6 +28,6 @@ def computed_once(df: DataFrame) -> DataFrame:
     Without a shared folder this is an error.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/paylens-{uuid.uuid4().hex}"
+    path = job_folder(spark, "paylens")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

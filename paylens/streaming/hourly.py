@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,6 +47,19 @@ def hourly_counts(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     )
 
 
+def batch_counts(txn: DataFrame) -> DataFrame:
+    """`hourly_counts` of a finished set of scoped attempts."""
+    won = sem.succeeded(F.col("trans_status_desc"))
+    return (
+        txn.dropDuplicates(["transaction_guid"])
+        .groupBy(F.date_trunc("hour", "trans_dt_ut").alias("hour_ut"), *KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("hourly_ct"),
+            F.sum(F.when(won, 1).otherwise(0)).cast("long").alias("hourly_success_ct"),
+        )
+    )
+
+
 def hour_of_week(c: Column) -> dict[str, Column]:
     local = sem.in_zone(c, fv.REPORT_ZONE)
     return {"dow": F.dayofweek(local), "trans_hr": F.hour(local)}
@@ -121,3 +134,19 @@ def start_hourly_check(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+def arrived(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The files of `folder`, also those yet to come, as a stream with the columns of `like`."""
+    return spark.readStream.schema(like.schema).parquet(folder)
+
+
+def append_arrived(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream over what has arrived since the last call and append its rows to parquet.
+
+    State, watermark and the files read so far lie in `checkpoint`: a call after a
+    failure, or the next day's, goes on where the last whole batch ended, and the
+    sink shows every batch once.
+    """
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

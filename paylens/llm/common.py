@@ -77,6 +77,17 @@ def text_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
+def leading(df: DataFrame, columns: list[str], keep: Column | None = None) -> DataFrame:
+    """The first columns of `df` under the names `columns`, whatever the others are called.
+
+    `keep` is a condition on a column of `df` named by its place: c0, c1 and so on.
+    """
+    places = [f"c{i}" for i in range(len(df.columns))]
+    placed = df.toDF(*places)
+    placed = placed if keep is None else placed.filter(keep)
+    return placed.select(*places[: len(columns)]).toDF(*columns)
+
+
 def seeded_unit(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)

@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.common import Scratch
-from paylens.llm.vectors import Classes, usable
+from paylens.llm.vectors import Classes, allowed, usable
 
 TREES, BITS, SAMPLE = 16, 60, 2_048
 SHARD_BITS, COUNT_BITS = 3, 12
 SLICE = 4_096
 SHARE = 1.4
-FOUND_SCHEMA = "q_key string, c_key string, score double, first_id long"
+#: Queries that one copy of a slice answers.
+ASKED = 16_384
+FOUND_SCHEMA = "unit string, c_key string, score double"
 
 
 class Planes:
@@ -80,7 +82,7 @@ def _index(batches, planes: Planes, width: int):
             {
                 "tree": pa.array(np.tile(np.arange(planes.trees, dtype=np.int32), n)),
                 "code": pa.array(codes.reshape(-1)),
-                **{c: batch.column(c).take(take) for c in ("key", "first_id", "vector")},
+                **{c: batch.column(c).take(take) for c in ("key", "first_id", "second_id", "vector")},
             }
         )
 
@@ -93,7 +95,7 @@ def _route(batches, planes: Planes, width: int, counts: np.ndarray, wanted: int)
     totals = [counts.reshape(planes.trees, 1 << d, -1).sum(axis=2) for d in range(COUNT_BITS + 1)]
     trees = np.arange(planes.trees)
     for batch in batches:
-        keys, vectors = batch.column("key").to_pylist(), batch.column("vector")
+        vectors = batch.column("vector")
         codes = planes.codes(_matrix(vectors.to_pylist(), width))
         rows: list[tuple[int, int, int, int]] = []
         for i, own in enumerate(codes):
@@ -112,26 +114,27 @@ def _route(batches, planes: Planes, width: int, counts: np.ndarray, wanted: int)
                 "shard": pa.array(shard.astype(np.int32)),
                 "depth": pa.array(depth.astype(np.int32)),
                 "code": pa.array(codes[which, tree]),
-                "key": pa.array([keys[i] for i in which.tolist()], pa.string()),
-                "vector": vectors.take(pa.array(which)),
+                **{c: batch.column(c).take(pa.array(which)) for c in ("unit", "own", "vector")},
             }
         )
 
 
 def _best(index: pd.DataFrame, queries: pd.DataFrame, keep: int, width: int) -> pd.DataFrame:
     """Score the prefix ranges of one slice; the `keep` best of each query."""
-    out: list[tuple[str, str, float, int]] = []
+    out: list[tuple[str, str, float]] = []
     if len(index) and len(queries):
         index = index.sort_values("code", kind="stable")
         codes = index["code"].to_numpy()
         vectors, first = _matrix(index["vector"], width), index["first_id"].to_numpy()
+        second = index["second_id"].to_numpy()
         keys = index["key"].to_numpy()
         shift = BITS - queries["depth"].to_numpy()
         low = (queries["code"].to_numpy() >> shift) << shift
         begin = np.searchsorted(codes, low, side="left")
         end = np.searchsorted(codes, low + (np.int64(1) << shift), side="left")
         asked = _matrix(queries["vector"], width)
-        names = queries["key"].to_numpy()
+        names = queries["unit"].to_numpy()
+        owns = queries["own"].tolist()
         for a, b in sorted(set(zip(begin.tolist(), end.tolist(), strict=True))):
             if a == b:
                 continue
@@ -140,20 +143,23 @@ def _best(index: pd.DataFrame, queries: pd.DataFrame, keep: int, width: int) ->
                 some = group[at : at + 256]
                 scores = asked[some] @ vectors[a:b].T
                 for q, row in zip(some, scores, strict=True):
+                    fine, ids = allowed(first[a:b], second[a:b], owns[q])
+                    if owns[q] is not None:
+                        row = np.where(fine, row, -np.inf)
                     # rounding may differ in the last bits: everything at the cut is looked at exactly
                     cut = np.partition(row, len(row) - keep)[len(row) - keep] - 1e-9 if len(row) > keep else -np.inf
-                    near = np.flatnonzero(row >= cut)
+                    near = np.flatnonzero((row >= cut) & fine)
                     exact = [math.fsum(p) for p in (vectors[a + near] * asked[q]).tolist()]
-                    order = np.lexsort((first[a + near], -np.array(exact)))[:keep]
-                    out += [(names[q], keys[a + near[o]], exact[o], int(first[a + near[o]])) for o in order]
-    return pd.DataFrame(out, columns=["q_key", "c_key", "score", "first_id"])
+                    order = np.lexsort((ids[near], -np.array(exact)))[:keep]
+                    out += [(names[q], keys[a + near[o]], exact[o]) for o in order]
+    return pd.DataFrame(out, columns=["unit", "c_key", "score"])
 
 
 def search(scratch: Scratch, rows: DataFrame, every: int, top: int, share: float = SHARE, trees: int = TREES, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of rows whose vec_id is divisible by `every`."""
     spark = scratch.spark
     some = usable(rows).filter(F.exists("vector", lambda v: v != 0))
-    classes = Classes(scratch, some, F.pmod(F.col("vec_id"), F.lit(every)) == 0, top + 1)
+    classes = Classes(scratch, some, F.pmod(F.col("vec_id"), F.lit(every)) == 0, top)
     distinct = classes.distinct
     n = distinct.count()
     if not n:
@@ -163,8 +169,8 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, share: float
     planes = Planes(_matrix(sample, width), trees, seed)
 
     kind = dict(distinct.dtypes)["vector"]
-    index = distinct.select("key", "first_id", "vector").mapInArrow(
-        partial(_index, planes=planes, width=width), f"tree int, code long, key string, first_id long, vector {kind}"
+    index = distinct.select("key", "first_id", "second_id", "vector").mapInArrow(
+        partial(_index, planes=planes, width=width), f"tree int, code long, key string, first_id long, second_id long, vector {kind}"
     )
     index = scratch.table(index.withColumn("shard", F.shiftright("code", BITS - SHARD_BITS).cast("int")), "index")
     counts = np.zeros((trees, 1 << COUNT_BITS), dtype=np.int64)
@@ -179,17 +185,22 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, share: float
     # at the least a few times `top` a tree, so that few rows are all searched
     wanted = min(trees * n, max(math.ceil(share * n), 4 * trees * top))
     index = index.join(F.broadcast(slices), ["tree", "shard"]).withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    asked = distinct.filter("asks").select("key", "vector").mapInArrow(
+    asked = classes.queries.select("unit", "own", "vector").mapInArrow(
         partial(_route, planes=planes, width=width, counts=counts, wanted=wanted),
-        f"tree int, shard int, depth int, code long, key string, vector {kind}",
+        f"tree int, shard int, depth int, code long, unit string, own string, vector {kind}",
     )
-    spread = slices.toDF("tree", "shard", "parts")
-    asked = asked.join(F.broadcast(spread), ["tree", "shard"]).withColumn("slice", F.explode(F.expr("sequence(0, parts - 1)")))
-    keys = "tree", "shard", "slice"
+    asked = scratch.table(asked, "asked-shards")
+    # queries of a shard are cut as well; each part meets a copy of the shard's slices
+    asks = asked.groupBy("tree", "shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks"))
+    spread = F.broadcast(slices.toDF("tree", "shard", "parts").join(asks, ["tree", "shard"]))
+    asked = asked.join(spread, ["tree", "shard"]).withColumn("slice", F.explode(F.expr("sequence(0, parts - 1)")))
+    asked = asked.withColumn("ask", F.pmod(F.xxhash64("unit"), F.col("asks")).cast("int")).drop("parts", "asks")
+    index = index.join(F.broadcast(asks), ["tree", "shard"]).withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)"))).drop("asks")
+    keys = "tree", "shard", "slice", "ask"
 
     def best_of(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return _best(index, queries, top + 1, width)
 
     found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best_of, FOUND_SCHEMA)
-    best = found.groupBy("q_key", "c_key").agg(F.max("score").alias("score"))
-    return classes.expand(best, top)
+    best = found.groupBy("unit", "c_key").agg(F.max("score").alias("score"))
+    return classes.expand(best)

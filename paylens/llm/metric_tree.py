@@ -13,11 +13,12 @@ A query first searches its own region best-first, then, with the k-th best
 score so far, every region whose covering ball reaches that close. In a page, the
 stored distances rule entries out by the triangle inequality before any
 distance is computed. Bounds carry a slack above rounding error and final scores
-are integers, so that results are exact, ties to the smaller id.
+are integers, so that results are exact, ties to the smaller id. Sums of products
+of components up to 2^20 are exact as doubles; beyond, those near the bound are
+taken again on integers of any size.
 
 Defined results: rows that take no part are listed in vectors.py; zero vectors
-take part; components beyond 2^20 in size are an error, as sums might no longer
-be exact; fewer candidates than `top` are all returned; an empty table gives no
+take part; a score that no long can hold is the nearest long; fewer candidates than `top` are all returned; an empty table gives no
 rows; repeated rows are candidates each, except those with the query's own id.
 """
 
@@ -35,19 +36,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.common import Scratch
-from paylens.llm.vectors import Classes, usable
+from paylens.llm.vectors import Classes, allowed, usable
 
 PIVOTS, SLICE, FAN_OUT, LEAF = 32, 4_096, 16, 128
 MOST = 1 << 20
-FOUND_SCHEMA = "q_key string, c_key string, score long, first_id long"
+#: Queries that one copy of a subtree answers.
+ASKED = 16_384
+FOUND_SCHEMA = "unit string, c_key string, score long"
+LONGS = (-(1 << 63), (1 << 63) - 1)
 
 
 class Space:
     """Distances between padded vectors whose last component evens out the norms."""
 
-    def __init__(self, width: int, norm: float) -> None:
+    def __init__(self, width: int, norm: float, most: float) -> None:
         self.width, self.norm = width, norm
         self.slack = 1e-6 * (norm + 1)
+        self.exact = most <= MOST
+
+    def scores(self, objects: np.ndarray, query: np.ndarray, least: int | None) -> tuple[np.ndarray, list[int]]:
+        """Which of the objects may reach the score `least`, and their inner products as integers."""
+        rough = objects @ query
+        if self.exact:
+            near = np.arange(len(rough)) if least is None else np.flatnonzero(rough >= least)
+            return near, np.rint(rough[near]).astype(np.int64).tolist()
+        room = 1e-9 * (self.norm**2 + 1)
+        near = np.arange(len(rough)) if least is None else np.flatnonzero(rough >= least - room)
+        whole = [int(x) for x in query]
+        return near, [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in objects[near].tolist()]
 
     def matrix(self, values) -> np.ndarray:
         out = np.zeros((len(values), self.width))
@@ -106,10 +122,10 @@ def build(points: np.ndarray, top_object: np.ndarray) -> list[Page]:
     return pages
 
 
-def best_first(pages: list[Page], space: Space, query: np.ndarray, to_top: float, keep: int, bound: float, first_ids: np.ndarray) -> list[tuple[int, int]]:
-    """Up to `keep` (score, row), best first, among those that `bound` (a distance) allows."""
+def best_first(pages: list[Page], space: Space, query: np.ndarray, to_top: float, keep: int, bound: float, fine: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Up to `keep` (score, row), best first, among those that `bound` (a distance) and `fine` allow, ties by `ids`."""
     lifted = np.append(query, 0.0)
-    found: list[tuple[int, int, int]] = []  # score, -first id, row: a heap with the worst on top
+    found: list[tuple[int, int, int]] = []  # score, -id, row: a heap with the worst on top
     todo = [(0.0, 0, to_top)]
     while todo:
         nearest, at, to_parent = heapq.heappop(todo)
@@ -118,15 +134,12 @@ def best_first(pages: list[Page], space: Space, query: np.ndarray, to_top: float
         page = pages[at]
         gap = np.abs(to_parent - page.to_parent)
         if page.children is None:
-            near = np.flatnonzero(gap <= bound)
+            near = np.flatnonzero((gap <= bound) & fine[page.rows])
             if not len(near):
                 continue
-            scores = page.objects[near, :-1] @ query
-            if len(found) == keep:
-                better = scores >= found[0][0]
-                near, scores = near[better], scores[better]
-            for score, row in zip(np.rint(scores).astype(np.int64).tolist(), page.rows[near].tolist(), strict=True):
-                item = (score, -int(first_ids[row]), row)
+            some, scores = space.scores(page.objects[near, :-1], query, found[0][0] if len(found) == keep else None)
+            for score, row in zip(scores, page.rows[near[some]].tolist(), strict=True):
+                item = (score, -int(ids[row]), row)
                 if len(found) < keep:
                     heapq.heappush(found, item)
                 elif item > found[0]:
@@ -155,7 +168,7 @@ def _assign(batches, pivots: np.ndarray, space: Space):
             {
                 "region": pa.array(region.astype(np.int32)),
                 "far": pa.array(far),
-                **{c: batch.column(c) for c in ("key", "first_id", "asks", "vector")},
+                **{c: batch.column(c) for c in batch.schema.names},
             }
         )
 
@@ -166,7 +179,7 @@ def _tree(group: pd.DataFrame, pivots: np.ndarray, space: Space) -> pd.DataFrame
     region = int(group["region"].iloc[0])
     pages = build(space.lifted(space.matrix(group["vector"])), pivots[region])
     flat = [(p.objects, p.to_parent, p.rows, p.radii, p.children) for p in pages]
-    stored = pickle.dumps((flat, group["key"].tolist(), group["first_id"].to_numpy()))
+    stored = pickle.dumps((flat, group["key"].tolist(), group["first_id"].to_numpy(), group["second_id"].to_numpy()))
     return pd.DataFrame({"region": [region], "slice": [int(group["slice"].iloc[0])], "tree": [stored]})
 
 
@@ -176,13 +189,14 @@ def _search(trees: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray, spac
     for region, stored in zip(trees["region"], trees["tree"], strict=True):
         if asked is None:
             break
-        flat, keys, first_ids = pickle.loads(stored)
+        flat, keys, first, second = pickle.loads(stored)
         pages = [Page(*p[:3], p[3], p[4]) for p in flat]
         tops = space.distances(np.column_stack([asked, np.zeros(len(asked))]), pivots[region]).tolist()
-        for name, query, to_top, bound in zip(queries["key"], asked, tops, queries["bound"], strict=True):
-            for score, row in best_first(pages, space, query, to_top, keep, bound, first_ids):
-                out.append((name, keys[row], score, int(first_ids[row])))
-    return pd.DataFrame(out, columns=["q_key", "c_key", "score", "first_id"])
+        for name, own, query, to_top, bound in zip(queries["unit"], queries["own"], asked, tops, queries["bound"], strict=True):
+            fine, ids = allowed(first, second, own)
+            for score, row in best_first(pages, space, query, to_top, keep, bound, fine, ids):
+                out.append((name, keys[row], min(max(score, LONGS[0]), LONGS[1])))
+    return pd.DataFrame(out, columns=["unit", "c_key", "score"])
 
 
 def _other_regions(batches, pivots: np.ndarray, radii: np.ndarray, space: Space):
@@ -201,8 +215,7 @@ def _other_regions(batches, pivots: np.ndarray, radii: np.ndarray, space: Space)
             {
                 "region": pa.array(region, pa.int32()),
                 "bound": pa.array(bound, pa.float64()),
-                "key": batch.column("key").take(take),
-                "vector": batch.column("vector").take(take),
+                **{c: batch.column(c).take(take) for c in ("unit", "own", "vector")},
             }
         )
 
@@ -218,23 +231,20 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, seed: int =
     spark = scratch.spark
     keep = top + 1
     some = usable(rows, "vec_id", "vector")
-    classes = Classes(scratch, some, F.pmod(F.col("vec_id"), F.lit(every)) == 0, keep)
+    classes = Classes(scratch, some, F.pmod(F.col("vec_id"), F.lit(every)) == 0, top)
     distinct = classes.distinct
-    square = F.aggregate("vector", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
-    size = distinct.agg(
-        F.max(F.size("vector")).alias("width"), F.max(square).alias("norm"), F.max(F.array_max(F.transform("vector", F.abs))).alias("most")
-    ).first()
+    parts = F.transform("vector", lambda x: F.abs(x.cast("double")))
+    square = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x * x)
+    size = distinct.agg(F.max(F.size("vector")).alias("width"), F.max(square).alias("norm"), F.max(F.array_max(parts)).alias("most")).first()
     if size["width"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if (size["most"] or 0) > MOST:
-        raise ValueError(f"components beyond {MOST} are not exact here")
-    space = Space(size["width"], math.sqrt(size["norm"] or 0))
+    space = Space(size["width"], math.sqrt(size["norm"] or 0), size["most"] or 0)
     drawn = distinct.orderBy(F.xxhash64("key", F.lit(seed))).select("vector").limit(PIVOTS).collect()
     pivots = space.lifted(space.matrix([r[0] for r in drawn]))
 
     kind = dict(distinct.dtypes)["vector"]
-    placed = distinct.mapInArrow(
-        partial(_assign, pivots=pivots, space=space), f"region int, far double, key string, first_id long, asks boolean, vector {kind}"
+    placed = distinct.select("key", "vector", "first_id", "second_id").mapInArrow(
+        partial(_assign, pivots=pivots, space=space), f"region int, far double, key string, vector {kind}, first_id long, second_id long"
     )
     placed = scratch.table(placed, "placed")
     # at most PIVOTS rows
@@ -243,7 +253,7 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, seed: int =
     slices = spark.createDataFrame([(r, max(1, math.ceil(x["n"] / SLICE))) for r, x in sizes.items()], "region int, slices int")
     cut = placed.join(F.broadcast(slices), "region")
     members = cut.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    trees = members.select("region", "slice", "key", "first_id", "vector").groupBy("region", "slice")
+    trees = members.select("region", "slice", "key", "first_id", "second_id", "vector").groupBy("region", "slice")
 
     def tree_of(group: pd.DataFrame) -> pd.DataFrame:
         return _tree(group, pivots, space)
@@ -254,18 +264,23 @@ def search(scratch: Scratch, rows: DataFrame, every: int, top: int, seed: int =
     trees = scratch.table(trees.applyInPandas(tree_of, "region int, slice int, tree binary"), "trees")
 
     def visit(queries: DataFrame, name: str) -> DataFrame:
-        spread = queries.join(F.broadcast(slices), "region").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
-        spread = spread.select("region", "slice", "key", "vector", "bound").groupBy("region", "slice")
-        found = trees.groupBy("region", "slice").cogroup(spread)
+        # queries of a region are cut as well; each part meets a copy of the region's subtrees
+        queries = scratch.table(queries, f"{name}-asked")
+        asks = queries.groupBy("region").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks"))
+        spread = queries.join(F.broadcast(slices.join(asks, "region")), "region")
+        spread = spread.withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+        spread = spread.withColumn("ask", F.pmod(F.xxhash64("unit"), F.col("asks")).cast("int"))
+        spread = spread.select("region", "slice", "ask", "unit", "own", "vector", "bound").groupBy("region", "slice", "ask")
+        copies = trees.join(F.broadcast(asks), "region").withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)"))).drop("asks")
+        found = copies.groupBy("region", "slice", "ask").cogroup(spread)
         return scratch.table(found.applyInPandas(search_in, FOUND_SCHEMA), name)
 
-    asked = placed.filter("asks").select("region", "key", "vector")
+    asked = placed.select("key", "region").join(classes.queries, "key").select("region", "unit", "own", "vector")
     home = visit(asked.withColumn("bound", F.lit(float("inf"))), "home")
-    kth = home.groupBy("q_key").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
-    kth = kth.select(F.col("q_key").alias("key"), F.expr(f"try_element_at(s, {keep})").alias("kth"))
-    others = asked.join(kth, "key", "left").select("region", "key", "vector", "kth").mapInArrow(
-        partial(_other_regions, pivots=pivots, radii=radii, space=space), f"region int, bound double, key string, vector {kind}"
+    kth = home.groupBy("unit").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    kth = kth.select("unit", F.expr(f"try_element_at(s, {keep})").alias("kth"))
+    others = asked.join(kth, "unit", "left").select("region", "unit", "own", "vector", "kth").mapInArrow(
+        partial(_other_regions, pivots=pivots, radii=radii, space=space), f"region int, bound double, unit string, own string, vector {kind}"
     )
     away = visit(others, "away")
-    best = home.unionByName(away).select("q_key", "c_key", "score")
-    return classes.expand(best, top)
+    return classes.expand(home.unionByName(away))

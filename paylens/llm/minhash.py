@@ -301,11 +301,14 @@ def keep_one(scratch: Scratch, docs: DataFrame, words: int = 5, threshold_pct: i
     """
     rows = NearDuplicates(scratch, docs, words, threshold_pct).result()
     keys = rows.groupBy("doc_id", "text_key").agg(F.max("keeper").alias("stays"), F.count("*").alias("n"))
-    keys = scratch.table(keys.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "stays", "n"), "keys")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__k"))
-    stays = docs.join(keys.filter("not stays").select("__d", "__k"), same, "left_anti")
-    repeated = keys.filter("stays and n > 1").select("__d", "__k")
-    if not repeated.take(1):
-        return stays
-    once = stays.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.join(repeated, same, "left_anti").unionByName(once)
+    keys = scratch.table(keys.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "stays", "n"), "keys")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("k"))
+    stays = placed.join(keys.filter("not stays").select("d", "k"), same, "left_anti")
+    repeated = keys.filter("stays and n > 1").select("d", "k")
+    if repeated.take(1):
+        once = stays.join(repeated, same, "left_semi").dropDuplicates([doc_id, text])
+        stays = stays.join(repeated, same, "left_anti").unionByName(once)
+    return stays.toDF(*docs.columns)

@@ -10,9 +10,15 @@ Both rankings are distributed: values are dealt into buckets by range, bucket
 counts are summed up, and only inside a bucket are rows numbered. Bucket sizes
 follow from the hash, not from the data: a hot source fills all its buckets.
 
-Defined results: a null source is a stratum of its own; null doc_ids are shuffled
-by their place in the input; repeated rows are rows of their own; an empty table
-gives no rows; other columns are passed through where they are asked for.
+The order is drawn from a row's id, its other columns and, of rows alike in all
+of them, their number, so that the result does not depend on the order of the
+input and no bucket holds more of a repeated row than of others. Copies are
+numbered within their input partition, on top of those in partitions before it.
+
+Defined results: a null source is a stratum of its own; null and repeated
+doc_ids and repeated rows are rows of their own; an empty table gives no rows;
+other columns are passed through where they are asked for (maps are no part of
+the draw).
 """
 
 from __future__ import annotations
@@ -32,10 +38,17 @@ def interleave(scratch: Scratch, rows: DataFrame, shards: int, seed: int = 0, st
     kept = [f"c{i}" for i in range(len(rows.columns))]
     named = rows.toDF(*kept)
     by = named[kept[rows.columns.index(stratum)]]
-    who = named[kept[rows.columns.index(identity)]]
-    place = F.when(who.isNull(), F.monotonically_increasing_id())
-    drawn = named.withColumn("s", F.xxhash64(by.cast("string")))
-    drawn = drawn.withColumn("u", seeded_unit(seed, who, place))
+    who = kept[rows.columns.index(identity)]
+    told = [c for c, kind in named.dtypes if "map<" not in kind]
+    drawn = named.withColumn("s", F.xxhash64(by.cast("string"))).withColumn("pid", F.spark_partition_id())
+    drawn = drawn.withColumn("alike", F.xxhash64(*told, *(F.col(c).isNull() for c in told)))
+    drawn = scratch.table(drawn, "drawn")
+    here = drawn.groupBy("alike", "pid").agg(F.count("*").alias("m"))
+    earlier = F.sum("m").over(Window.partitionBy("alike").orderBy("pid")) - F.col("m")
+    copies = here.withColumn("earlier", earlier).filter("earlier > 0 or m > 1").select("alike", "pid", "earlier")
+    drawn = drawn.join(copies, ["alike", "pid"], "left")
+    copy = F.coalesce("earlier", F.lit(0).cast("long")) + F.row_number().over(Window.partitionBy("alike", "pid").orderBy("earlier"))
+    drawn = drawn.withColumn("u", seeded_unit(seed, F.col(who), F.col("alike"), copy)).drop("alike", "pid", "earlier")
     total = rows.count()
     buckets = min(MOST_BUCKETS, max(1, total // BUCKET_ROWS))
 

@@ -197,7 +197,7 @@ def _signed(mask: int) -> int:
 def links(scratch: Scratch, prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints `prints` (fp) as all links do."""
     spark = scratch.spark
-    dealt, fixed = prints.select("fp", F.lit(0).cast("long").alias("path")), {0: 0}
+    dealt, fixed = None, {0: 0}
     found = []
     level = 0
     while True:
@@ -207,8 +207,12 @@ def links(scratch: Scratch, prints: DataFrame, radius: int = RADIUS, most: int =
             for path, mask in fixed.items()
             for k, part in enumerate(_parts(~mask & (1 << BITS) - 1, radius + 1))
         ]
-        masks = spark.createDataFrame([(p, c, _signed(m)) for p, c, m in children], "path long, child long, mask long")
-        rows = dealt.join(F.broadcast(masks), "path")
+        if level:
+            masks = spark.createDataFrame([(p, c, _signed(m)) for p, c, m in children], "path long, child long, mask long")
+            rows = dealt.join(F.broadcast(masks), "path")
+        else:
+            parts = [F.struct(F.lit(c).cast("long").alias("child"), F.lit(_signed(m)).cast("long").alias("mask")) for _, c, m in children]
+            rows = prints.select("fp", F.inline(F.array(*parts)))
         key = F.xxhash64("child", F.col("fp").bitwiseAND(F.col("mask")))
         rows = scratch.table(rows.select("fp", F.col("child").alias("path"), key.alias("bucket")), f"dealt-{level}")
         sizes = scratch.table(rows.groupBy("bucket").count().filter("count > 1"), f"sizes-{level}")

@@ -3,9 +3,11 @@
 A text's features are the distinct n-grams of its lower-cased UTF-8 bytes,
 hashed into BUCKETS. On labelled rows each feature's log-count ratio between
 toxic and other texts is measured; the features that tell most (likelihood
-ratio) are kept, and a logistic regression with L2 penalty is fitted to binary
-features scaled by their ratios. Scoring is one pass without a shuffle; the
-model is a few thousand numbers.
+ratio) are kept; the counts are summed up and the features chosen on Spark, and
+the driver holds the chosen features of the sampled rows, two bytes each. A
+logistic regression with L2 penalty is fitted to binary features scaled by their
+ratios. Scoring is one pass without a shuffle; the model is a few thousand
+numbers.
 
 At most `most_rows` labelled rows are used for fitting, a documented bound; they
 are a seeded hash sample where there are more. Scores cover every whole text.
@@ -18,14 +20,13 @@ the base rate everywhere, extra columns pass through.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.common import small_batches, text_of
@@ -38,6 +39,8 @@ FEATURES = 6_000
 MOST_ROWS = 24_000
 FIT_TASKS = 8
 LEAST_TEXTS = 3
+#: Rows a counting task hands on together; entries of the fit that are gone through together.
+HANDED, PIECE = 1 << 16, 1 << 20
 HELD_OUT_PART, PARTS = 2, 4
 #: Scores from here on count as toxic.
 REJECT = 0.3
@@ -85,17 +88,17 @@ def present(texts: pa.Array, wanted: np.ndarray | None) -> tuple[np.ndarray, np.
 
 
 def _count(batches):
-    """How many toxic and other texts hold each bucket, one compressed row a task."""
-    counts, rows = np.zeros((2, BUCKETS), dtype=np.int32), [0, 0]
+    """(bucket, others, toxics): how many toxic and other texts of this task hold each bucket that any holds."""
+    counts = np.zeros((2, BUCKETS), dtype=np.int32)
     for batch in together(batches, "text", 1 << 20):
         text, bucket = present(batch.column("text"), None)
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for label in (0, 1):
-            counts[label] += np.bincount(bucket[toxic[text] == label], minlength=BUCKETS).astype(np.int32)
-            rows[label] += int((toxic == label).sum())
-    yield pa.record_batch(
-        {"others": pa.array([rows[0]]), "toxics": pa.array([rows[1]]), "counts": pa.array([zlib.compress(counts.tobytes(), 1)])}
-    )
+            np.add.at(counts[label], bucket[toxic[text] == label], 1)
+    held = np.flatnonzero(counts.any(axis=0))
+    for at in range(0, len(held), HANDED):
+        own = held[at : at + HANDED]
+        yield pa.record_batch({"bucket": pa.array(own.astype(np.int32)), "others": pa.array(counts[0, own]), "toxics": pa.array(counts[1, own])})
 
 
 def _choose(batches, features: np.ndarray):
@@ -104,33 +107,51 @@ def _choose(batches, features: np.ndarray):
     for batch in together(batches, "text", 4 << 20):
         text, bucket = present(batch.column("text"), place >= 0)
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[bucket]))
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[bucket].astype(np.int16)))
         yield pa.record_batch({"toxic": batch.column("toxic"), "features": lists})
 
 
-def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Twice the log-likelihood gain of knowing the label, per feature."""
+def _likelihood_ratio(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Twice the log-likelihood gain of knowing the label, from how many toxic and other texts hold a bucket."""
     total = n_pos + n_neg
     both = pos + neg
-    gain = np.zeros(len(pos))
+    gain = F.lit(0.0)
     for seen, size in ((pos, n_pos), (neg, n_neg)):
         for part, overall in ((seen, both), (size - seen, total - both)):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                term = part * np.log(part * total / (size * overall))
-            gain += np.where(part > 0, term, 0.0)
+            gain += F.when(part > 0, part * F.log(part * F.lit(float(total)) / (overall * F.lit(float(size))))).otherwise(0.0)
     return 2 * gain
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean logistic loss."""
+def _logistic(lists: pa.ChunkedArray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the mean logistic loss; `lists` holds each row's features.
+
+    The entries are gone through in pieces, so that no array but the features
+    themselves has their number.
+    """
     n, k = len(y), len(scale)
-    values = scale[cols]
+    pieces = []
+    at = 0
+    for chunk in lists.chunks:
+        ends = chunk.offsets.to_numpy().astype(np.int64)
+        features = chunk.values.to_numpy()
+        first = 0
+        while first < len(chunk):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + PIECE, side="right")) - 1)
+            pieces.append((at + first, np.diff(ends[first : last + 1]), features[ends[first] : ends[last]]))
+            first = last
+        at += len(chunk)
     w, b = np.zeros(k), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     first, second = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(rows, weights=values * w[cols], minlength=n) + b
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.append(np.bincount(cols, weights=values * error[rows], minlength=k) / n + penalty * w, error.mean())
+        scaled, grad = scale * w, np.zeros(k)
+        off = 0.0
+        for start, sizes, features in pieces:
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(rows, weights=scaled[features], minlength=len(sizes)) + b
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[start : start + len(sizes)]
+            grad += np.bincount(features, weights=error[rows], minlength=k)
+            off += error.sum()
+        grad = np.append(scale * grad / n + penalty * w, off / n)
         first += 0.1 * (grad - first)
         second += 0.001 * (grad * grad - second)
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -151,21 +172,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: in
     n = known.count()
     if n > most_rows:
         known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) * F.lit(2.0**-53) < most_rows / n)
-    rows = text_of(docs).join(F.broadcast(known), "doc_id").select("text", "toxic").repartition(FIT_TASKS)
-    counted = rows.mapInArrow(_count, "others long, toxics long, counts binary").collect()
-    n_neg, n_pos = (sum(r[i] for r in counted) for i in (0, 1))
+    labelled = text_of(docs).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    rows = labelled.repartition(FIT_TASKS)
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_neg, n_pos = sizes.get(0, 0), sizes.get(1, 0)
     base = float(np.log((n_pos + 0.5) / (n_neg + 0.5)))
     if not n_pos or not n_neg:
         return Model(np.empty(0, np.int64), np.empty(0), base)
-    neg, pos = sum(np.frombuffer(zlib.decompress(r[2]), np.int32).reshape(2, BUCKETS).astype(np.float64) for r in counted)
-    gain = np.where(pos + neg >= LEAST_TEXTS, _likelihood_ratio(pos, neg, n_pos, n_neg), 0.0)
-    features = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    features = features[gain[features] > 0]
-    ratio = np.log((pos[features] + 1) / (n_pos + 2)) - np.log((neg[features] + 1) / (n_neg + 2))
-    held = rows.mapInArrow(partial(_choose, features=features), "toxic int, features array<int>").toPandas()
-    sizes = held["features"].map(len).to_numpy()
-    cols = np.concatenate([*held["features"], np.empty(0, np.int32)]).astype(np.int64)
-    w, b = _logistic(np.repeat(np.arange(len(held)), sizes), cols, ratio, held["toxic"].to_numpy(float), penalty, steps)
+    counts = rows.mapInArrow(_count, "bucket int, others int, toxics int").groupBy("bucket")
+    counts = counts.agg(F.sum("others").alias("others"), F.sum("toxics").alias("toxics")).filter(F.col("others") + F.col("toxics") >= LEAST_TEXTS)
+    gain = _likelihood_ratio(F.col("toxics"), F.col("others"), n_pos, n_neg)
+    best = counts.withColumn("gain", gain).filter("gain > 0").orderBy(F.desc("gain"), "bucket").limit(FEATURES)
+    best = sorted((r["bucket"], r["toxics"], r["others"]) for r in best.collect())
+    features, pos, neg = np.array(best, dtype=np.int64).reshape(-1, 3).T
+    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+    held = rows.mapInArrow(partial(_choose, features=features), "toxic int, features array<short>").toArrow()
+    w, b = _logistic(held.column("features"), ratio, held.column("toxic").to_numpy().astype(float), penalty, steps)
     return Model(features, w * ratio, b)
 
 

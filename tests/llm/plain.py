@@ -226,3 +226,58 @@ def spelling_rows(docs):
             root = form[root]
         out[w] = (form[w], root, n, len(near[w]), None if form[w] is None else words[form[w]])
     return out
+
+
+def nearest_rows(rows, every: int, top: int, score):
+    """Per asked row, in order: its (score, vec_id) list over all rows of other ids."""
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            found = sorted((-score(x, y), c) for c, y in rows if c != q)[:top]
+            out.append((q, [(-s, c) for s, c in found]))
+    return sorted(out)
+
+
+def logistic_scores(train, texts, sizes=(4, 5, 6), features=6000, least=3, penalty=5e-4, steps=300):
+    """Scores of `texts` from n-grams of bytes, log-count ratios and logistic regression; train: (text, label)."""
+
+    def grams(text):
+        raw = (text or "").lower().encode()
+        return {raw[i : i + n] for n in sizes for i in range(len(raw) - n + 1)}
+
+    held = [(grams(t), y) for t, y in train]
+    n_pos = sum(y for _, y in held)
+    n_neg = len(held) - n_pos
+    pos, neg = Counter(), Counter()
+    for g, y in held:
+        (pos if y else neg).update(g)
+
+    def gain(x):
+        out = 0.0
+        for seen, size in ((pos[x], n_pos), (neg[x], n_neg)):
+            for part, overall in ((seen, pos[x] + neg[x]), (size - seen, len(held) - pos[x] - neg[x])):
+                if part:
+                    out += part * np.log(part * len(held) / (size * overall))
+        return out
+
+    chosen = sorted((x for x in pos | neg if pos[x] + neg[x] >= least), key=lambda x: -gain(x))[:features]
+    place = {x: i for i, x in enumerate(chosen)}
+    ratio = np.array([np.log((pos[x] + 1) / (n_pos + 2)) - np.log((neg[x] + 1) / (n_neg + 2)) for x in chosen])
+
+    def matrix(sets):
+        out = np.zeros((len(sets), len(chosen)))
+        for i, g in enumerate(sets):
+            out[i, [place[x] for x in g if x in place]] = 1
+        return out * ratio
+
+    m, y = matrix([g for g, _ in held]), np.array([y for _, y in held], dtype=float)
+    w, b = np.zeros(len(chosen)), np.log((n_pos + 1) / (n_neg + 1))
+    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    for step in range(1, steps + 1):
+        error = 1 / (1 + np.exp(-(m @ w + b))) - y
+        grad = np.append(m.T @ error / len(y) + penalty * w, error.mean())
+        first += 0.1 * (grad - first)
+        second += 0.001 * (grad**2 - second)
+        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return 1 / (1 + np.exp(-(matrix([grams(t) for t in texts]) @ w + b)))

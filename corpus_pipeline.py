@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm import minhash, packing, toxicity
-from paylens.llm.common import Scratch
+from paylens.llm.common import Scratch, leading
 from paylens.llm.line_dedup import remove_repeated_lines
 from paylens.llm.mixing import mix
 from paylens.llm.queries import tokenizer_path
@@ -15,7 +15,8 @@ from paylens.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the rejection score, all columns."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, column="__score").filter(F.col("__score") < toxicity.REJECT).select(*docs.columns)
+    scored = toxicity.score(docs, model)
+    return leading(scored, docs.columns, F.col(f"c{len(docs.columns)}") < toxicity.REJECT)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +24,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document all of whose lines were later copies is itself a copy and goes.
     """
+    columns = docs.columns
     out = remove_repeated_lines(Scratch(spark, "lines"), docs)
-    emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"\S")
-    return out.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    removed, text = F.col(f"c{len(columns) + 1}"), F.col(f"c{columns.index('text')}")
+    left = leading(out, columns, ~((removed > 0) & ~text.rlike(r"\S")))
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else left
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their target shares."""
-    return mix(Scratch(spark, "mix"), docs).select(*docs.columns)
+    return leading(mix(Scratch(spark, "mix"), docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@ Documents with equal sets form one class beforehand; only its first row goes
 on. Inside a bucket not all pairs are made: small buckets are compared in full,
 large ones with a pivot, and then, as long as a bucket's members lie in several
 components, with ever more random pivots until it is one component or every
-member has been a pivot. So each pair of a bucket is tested or already known to
-be connected: no cap, and near-linear work on groups of near copies.
+member has been a pivot. A pair that several open buckets hold is made in the
+first of them only; that one stays open until the pair is compared or connected.
+So each pair of a bucket is tested or already known to be connected: no cap, and
+near-linear work on groups of near copies.
 
 Defined results: a null or word-less text has no shingles and links with
 nothing; a text shorter than a shingle is one shingle; rows with equal sets are
@@ -43,6 +45,10 @@ MINIMA = BANDS * ROWS
 WORDS64 = -(-MINIMA // 64)
 SMALL_BUCKET = 16
 ORDERS = 6
+#: Pivots of a large bucket in the first turn that draws them, and their growth from turn to turn.
+PIVOTS, GROWTH = 32, 16
+#: Rows of a few numbers each that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 CHUNK = 1 << 15
 SIGNATURE_SCHEMA = (
     "rid long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, packed array<long>"
@@ -218,23 +224,31 @@ class NearDuplicates:
         some = self.signatures.filter("n_shingles > 0")
         first = some.groupBy("set_key").agg(F.min("rid").alias("rid")).select("rid")
         nodes = scratch.table(some.join(first, "rid").select("rid", "doc_id", "text_key", "n_shingles", "bands", "packed"), "nodes")
-        rows = nodes.select("rid", F.explode("bands").alias("h"))
+        rows = nodes.select("rid", F.col("n_shingles").alias("size"), F.explode("bands").alias("h"))
         # a bucket's first pivot by one of ORDERS random orders: groups of copies get that many pivots in all
         rows = rows.withColumn("rank", F.xxhash64("rid", F.pmod("h", F.lit(ORDERS))))
         shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rank").alias("least")).filter("n > 1")
-        members = rows.join(shared, "h").select("h", "rid", "n", (F.col("rank") == F.col("least")).alias("leads"))
+        members = rows.join(shared, "h").select("h", "rid", "size", "n", (F.col("rank") == F.col("least")).alias("leads"))
         members = scratch.table(members, "members")
 
         confirmed = tested = spark.createDataFrame([], "a long, b long")
         labelled = members.withColumn("comp", F.col("rid"))
+        sized = F.least("size", "p_size") * 100 >= F.greatest("size", "p_size") * self.threshold_pct
         turn = 0
         while members.take(1):
-            share = F.lit(0.0) if turn == 0 else F.lit(4.0 * 8.0 ** (turn - 1)) / F.col("n")
-            done = SMALL_BUCKET if turn == 0 else max(SMALL_BUCKET, 4 * 8 ** (turn - 1))
-            chosen = F.shiftrightunsigned(F.xxhash64("h", "rid", F.lit(turn)), 11) * F.lit(2.0**-53) < share
+            done = SMALL_BUCKET if turn == 0 else PIVOTS * GROWTH ** (turn - 1)
+            chosen = F.lit(False)
+            if turn:
+                chosen = F.shiftrightunsigned(F.xxhash64("h", "rid", F.lit(turn)), 11) * F.lit(2.0**-53) < F.lit(float(done)) / F.col("n")
+                lists = members.groupBy("rid").agg(F.collect_list("h").alias("all_h"))
+                labelled = labelled.join(lists, "rid")
             marked = labelled.withColumn("pivot", F.col("leads") | (F.col("n") <= done) | chosen)
-            pivots = marked.filter("pivot").select("h", F.col("rid").alias("p"), F.col("comp").alias("p_comp"))
-            pairs = marked.join(pivots, "h").filter("comp <> p_comp and (not pivot or rid < p)")
+            of_pivot = {"rid": "p", "size": "p_size", "comp": "p_comp", "all_h": "p_all_h"}
+            pivots = marked.filter("pivot").select("h", *(F.col(c).alias(p) for c, p in of_pivot.items() if c in marked.columns))
+            new = (F.col("comp") != F.col("p_comp")) & (~F.col("pivot") | (F.col("rid") < F.col("p"))) & sized
+            if turn:
+                new &= F.array_min(F.array_intersect("all_h", "p_all_h")) == F.col("h")
+            pairs = marked.join(pivots, "h").filter(new)
             pairs = pairs.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
             if turn:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -250,23 +264,29 @@ class NearDuplicates:
             turn += 1
         return confirmed
 
+    def _small(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` as a table, broadcast if it is small enough."""
+        df = self.scratch.table(df, name)
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
     def _confirm(self, pairs: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
         scratch = self.scratch
         least = self.threshold_pct / 100 - margin(self.threshold_pct / 100)
         known = nodes.select("rid", "n_shingles", "packed")
         x, y = known.toDF("a", "na", "pa"), known.toDF("b", "nb", "pb")
-        sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold_pct
-        likely = pairs.join(x, "a").join(y, "b").filter(sized & (estimate("pa", "pb") >= least)).select("a", "b", "na", "nb")
+        likely = pairs.join(x, "a").join(y, "b").filter(estimate("pa", "pb") >= least).select("a", "b", "na", "nb")
         likely = scratch.table(likely, f"likely-{turn}")
-        need = likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct()
-        if self.sets is not None:
-            need = need.join(self.sets, "rid", "left_anti")
+        held = likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct()
+        held = self._small(held, f"held-{turn}")
+        need = held if self.sets is None else held.join(self.sets.select("rid"), "rid", "left_anti")
         need = nodes.join(need, "rid", "left_semi").select("rid", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+        need = self._small(need, f"need-{turn}")
         found = self.texts.join(need, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
         found = found.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(partial(_sets, words=self.words), "rid long, shingles array<long>")
         fresh = scratch.table(found, f"sets-{turn}")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
-        x, y = self.sets.toDF("a", "sa"), self.sets.toDF("b", "sb")
+        sets = self.sets.join(held, "rid", "left_semi")
+        x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         common = F.size(F.array_intersect("sa", "sb"))
         exact = likely.join(x, "a").join(y, "b").withColumn("common", common)
         exact = exact.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.threshold_pct)

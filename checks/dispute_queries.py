@@ -33,8 +33,8 @@ def _requests(s, d):
 
 def _all(s, d):
     invoices, recov = _invoices(s, d), spark_view(s, d, "recov")
-    a = dp.processor_a(dp.match_requests(_first(s, d), _requests(s, d), invoices), recov, invoices)
-    b = dp.processor_b(spark_view(s, d, "disp_b"), _signups(s, d), recov, invoices, B_SINCE)
+    a = dp.processor_a(dp.match_requests(_first(s, d), _requests(s, d), invoices), recov, invoices, spark_view(s, d, "sites"))
+    b = dp.processor_b(spark_view(s, d, "disp_b"), _signups(s, d), recov, invoices, spark_view(s, d, "merchants"), B_SINCE)
     return a.unionByName(b)
 
 

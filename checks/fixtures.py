@@ -334,6 +334,9 @@ FROM orders WHERE o_orderkey % 5 = 3"""
 _REASONS = ["Fraud - Card Absent", "No Authorization", "Chip Liability Shift", "Duplicate", "Not as described", None]
 
 
+_COUNTRIES = ["US", "AU", "AT", "IT", "DE"]
+
+
 def dispute_a_sql(d) -> str:
     """Two dispute events per chosen order; the earlier one is the first."""
     parts = []
@@ -343,7 +346,7 @@ def dispute_a_sql(d) -> str:
             return d.format_date(d.plus_days(_shifted(d), n), "M/d/yyyy", "%-m/%-d/%Y")
 
         parts.append(
-            f"""SELECT CASE o_orderkey % 4 WHEN 0 THEN 372658052884 WHEN 1 THEN 311205465884 WHEN 2 THEN 311183520882 ELSE 999 END AS site_id_be
+            f"""SELECT CAST(CASE o_orderkey % 4 WHEN 0 THEN 5000 WHEN 1 THEN 5001 WHEN 2 THEN 5002 ELSE 999 END AS BIGINT) AS site_id_be
      , CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE CAST(100000000 + o_orderkey AS VARCHAR(40)) END AS transaction_id
      , {day('o_orderkey % 5 - 1')} AS txn_date, {day(str(later))} AS received_date, {day('40')} AS disposition_date
      , CASE WHEN o_orderkey % 9 = 0 THEN 'Pre-Arbitration' ELSE 'First Chargeback' END AS chargeback_work_type
@@ -356,7 +359,7 @@ FROM orders WHERE o_orderkey % 3 <= 1"""
 
 def dispute_b_sql(d) -> str:
     return f"""
-SELECT {_case('o_orderkey % 4', ['PPLUS_US_Card_Charge', 'PPlus_INTL_IT_Card_Charge', 'PPlus_INTL_DE_Card_Charge', 'other'])} AS merchant_account
+SELECT {_case('o_orderkey % 4', ['shop_0', 'shop_3', 'shop_4', 'other'])} AS merchant_account
      , concat('PSP', o_orderkey, '-', l_partkey) AS psp_reference
      , CASE WHEN o_orderkey % 5 = 3 THEN concat('PAR', o_orderkey)
             ELSE concat('T', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) END AS merchant_reference
@@ -369,6 +372,18 @@ SELECT {_case('o_orderkey % 4', ['PPLUS_US_Card_Charge', 'PPlus_INTL_IT_Card_Cha
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 3 AND o_custkey % 2 = 1"""
 
 
+def site_sql(d) -> str:
+    """Dispute sites and their countries: one per nation."""
+    return f"""
+SELECT CAST(5000 + n_nationkey AS BIGINT) AS site_id_be, {_case('n_nationkey % 5', _COUNTRIES)} AS country_cd FROM nation"""
+
+
+def merchant_sql(d) -> str:
+    """Merchant accounts and their countries: one per nation."""
+    return f"""
+SELECT concat('shop_', n_nationkey) AS merchant_account, {_case('n_nationkey % 5', _COUNTRIES)} AS country_cd FROM nation"""
+
+
 def refund_request_sql(d) -> str:
     """Refund requests: one per order of every third customer."""
     day = d.format_date(d.plus_days(_shifted(d), "-20"), "M/d/yyyy", "%-m/%-d/%Y")
@@ -439,6 +454,8 @@ _VIEWS = {
     "recov": (recovery_sql, ("orders",)),
     "disp_a": (dispute_a_sql, ("orders",)),
     "disp_b": (dispute_b_sql, ("lineitem", "orders")),
+    "sites": (site_sql, ("nation",)),
+    "merchants": (merchant_sql, ("nation",)),
     "refund": (refund_request_sql, ("orders",)),
     "binv": (billing_invoice_sql, ("lineitem", "orders")),
     "notes": (note_sql, ("orders",)),

@@ -9,32 +9,10 @@ from pyspark.sql import functions as F
 
 from paylens.functions import fixed_values as fv
 from paylens.functions import semantics as sem
+from paylens.operators.sparse_keys import left_join
 from paylens.operators.subscriptions import ACCOUNT
 
 # --- fixed values ------------------------------------------------------------
-# dispute site id -> country of the merchant account
-COUNTRY_BY_SITE = {
-    372658052884: "US", 311205465884: "AU", 372826763883: "AU", 311206343882: "CA",
-    372826761887: "CA", 311183522888: "AT", 311183521880: "DE", 311183071886: "IE",
-    311183520882: "IT", 311183523886: "CH", 311183070888: "UK", 345141800887: "AR",
-    345141801885: "BO", 345141811884: "NI", 345141812882: "PA", 345141813880: "PY",
-    345141815885: "UY", 345141802883: "CL", 345141803881: "CO", 345141804889: "CR",
-    345141805886: "DR", 345141806884: "EC", 345141807882: "SV", 345141808880: "GT",
-    345141809888: "HN", 345141810886: "MX", 345141814888: "PE", 345141816883: "VE",
-    311180922883: "DK", 311180923881: "FI", 311180921885: "NO", 311180920887: "SE",
-}
-# merchant account -> country
-COUNTRY_BY_MERCHANT = {
-    "PPLUS_US_Card_Charge": "US",
-    "PPlus_INTL_UK_Card_Charge": "UK",
-    "PPlus_INTL_FR_Card_Charge": "FR",
-    "PPlus_INTL_BR_Card_Charge": "BR",
-    "PPlus_INTL_DE_Card_Charge": "DE",
-    "PPlus_INTL_IT_Card_Charge": "IT",
-    "PPlus_INTL_AT_Card_Charge": "AT",
-    "PPlus_INTL_IE_Card_Charge": "IE",
-    "PPlus_INTL_MX_Card_Charge": "MX",
-}
 FIRST_CHARGEBACK = "First Chargeback"
 CHARGEBACK_RECORD = "Chargeback"
 VENDOR_REFERENCE = "PAR%"
@@ -45,11 +23,6 @@ NOT_FIRST = 1_000_000
 US_SOURCE, DOMESTIC = 115, "US"
 
 
-def _lookup(values: dict, key: Column) -> Column:
-    """Small fixed table as a map literal; unknown keys give NULL."""
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
-
-
 def _day(text: Column) -> Column:
     return F.to_date(text, "M/d/yyyy")
 
@@ -162,14 +135,12 @@ def clean_requests(
         & (F.col("amount") != CARD_TEST_AMOUNT)
         & (F.col("overallreasoncode") == APPROVED_REASON)
     ).drop("transactionrefnumber")
-    joined = kept.join(
-        recoveries.select(
-            F.col("external_reference").alias("merchantreferencenumber"),
-            F.col("invoice_number").alias("recovery_text"),
-        ),
-        "merchantreferencenumber",
-        "left",
-    ).join(batch, ["requestid", "merchantid"], "left")
+    texts = recoveries.select(
+        F.col("external_reference").alias("merchantreferencenumber"),
+        F.col("invoice_number").alias("recovery_text"),
+    )
+    joined = left_join(kept, texts, ["merchantreferencenumber"], ["requestid"])
+    joined = joined.join(batch, ["requestid", "merchantid"], "left")
     short_number = (F.length(ref) < 32) & _only(ref, "0-9.")
     recovered, _ = recovery_number(F.col("recovery_text"))
     vendor = (
@@ -217,11 +188,9 @@ def match_requests(
     inv = invoices.select(
         "invoice_nbr", F.col("account_cd").alias("customerid"), F.col("fin").alias("own_fin")
     )
-    return (
-        days.join(req, ["transaction_id", "request_day"])
-        .join(inv, ["invoice_nbr", "customerid"], "left")
-        .withColumn("signup_chk", _signup(F.col("own_fin")))
-    )
+    matched = days.join(req, ["transaction_id", "request_day"])
+    found = left_join(matched, inv, ["invoice_nbr", "customerid"], ["requestid", "case_number"])
+    return found.withColumn("signup_chk", _signup(F.col("own_fin")))
 
 
 def _resolved_invoices(invoices: DataFrame, prefix: str) -> DataFrame:
@@ -230,10 +199,13 @@ def _resolved_invoices(invoices: DataFrame, prefix: str) -> DataFrame:
 
 
 def processor_a(
-    matched: DataFrame, recoveries: DataFrame, invoices: DataFrame
+    matched: DataFrame, recoveries: DataFrame, invoices: DataFrame, sites: DataFrame
 ) -> DataFrame:
     """Matched disputes in the common layout, invoices looked up three ways:
-    the request's own, the reference read as a number, the vendor's reference."""
+    the request's own, the reference read as a number, the vendor's reference.
+
+    ``sites`` (site_id_be, country_cd) is the processor's list of dispute sites.
+    """
     direct, via = _resolved_invoices(invoices, "d_"), _resolved_invoices(invoices, "v_")
     number, country = recovery_number(F.col("recovery_text"))
     er = recoveries.select(
@@ -241,24 +213,19 @@ def processor_a(
         F.col("invoice_number").alias("recovery_text"),
     ).withColumns({"v_invoice_nbr": number, "v_country_cd": country})
     ref = F.col("merchantreferencenumber")
-    joined = (
-        matched.join(er, "merchantreferencenumber", "left")
-        .join(
-            direct.withColumn("merchantreferencenumber", F.col("d_invoice_nbr").cast("string")),
-            "merchantreferencenumber",
-            "left",
-        )
-        .join(
-            via.withColumn("_hit", F.lit(True)), ["v_invoice_nbr", "v_country_cd"], "left"
-        )
-    )
+    numbered = direct.withColumn("merchantreferencenumber", F.col("d_invoice_nbr").cast("string"))
+    row = ["requestid", "case_number"]
+    joined = left_join(matched, er, ["merchantreferencenumber"], row)
+    joined = left_join(joined, numbered, ["merchantreferencenumber"], row)
+    joined = left_join(joined, via.withColumn("_hit", F.lit(True)), ["v_invoice_nbr", "v_country_cd"], row)
+    joined = joined.join(sites.select("site_id_be", F.col("country_cd").alias("mid_country")), "site_id_be", "left")
     # the number alone says nothing unless the lookup found an invoice
     v_number = F.when(F.col("_hit"), F.col("v_invoice_nbr"))
     short_number = (F.length(ref) < 32) & _only(ref, "0-9.")
     fin = F.coalesce("d_fin", "v_fin")
     return joined.select(
         F.lit("cybersource").alias("gateway"),
-        _lookup(COUNTRY_BY_SITE, F.col("site_id_be")).alias("mid_country"),
+        "mid_country",
         F.col("requestid").alias("gateway_txn_id"),
         F.when(short_number, ref)
         .otherwise(F.coalesce("recovery_text", "merchantreferencenumber"))
@@ -285,9 +252,13 @@ def processor_b(
     attempts: DataFrame,
     recoveries: DataFrame,
     invoices: DataFrame,
+    merchants: DataFrame,
     since: dt.date,
 ) -> DataFrame:
-    """The second processor's chargebacks in the common layout."""
+    """The second processor's chargebacks in the common layout.
+
+    ``merchants`` (merchant_account, country_cd) is the list of its merchant accounts.
+    """
     ref = F.col("merchant_reference")
     number, country = recovery_number(F.col("recovery_text"))
     er = recoveries.select(
@@ -300,23 +271,20 @@ def processor_b(
         F.col("invoice_nbr").alias("t_invoice_nbr"),
         F.col("signup_chk").alias("t_signup"),
     )
-    joined = (
-        disputes.where(
-            (F.col("record_type") == CHARGEBACK_RECORD)
-            & (F.to_date("payment_date") >= F.lit(since))
-        )
-        .join(txn, "merchant_reference", "left")
-        .join(er, "merchant_reference", "left")
-        .join(
-            _resolved_invoices(invoices, "v_").withColumn("_hit", F.lit(True)),
-            ["v_invoice_nbr", "v_country_cd"],
-            "left",
-        )
+    kept = disputes.where(
+        (F.col("record_type") == CHARGEBACK_RECORD) & (F.to_date("payment_date") >= F.lit(since))
+    )
+    via = _resolved_invoices(invoices, "v_").withColumn("_hit", F.lit(True))
+    joined = left_join(kept, txn, ["merchant_reference"], ["psp_reference"])
+    joined = left_join(joined, er, ["merchant_reference"], ["psp_reference"])
+    joined = left_join(joined, via, ["v_invoice_nbr", "v_country_cd"], ["psp_reference"])
+    joined = joined.join(
+        merchants.select("merchant_account", F.col("country_cd").alias("mid_country")), "merchant_account", "left"
     )
     from_vendor = ref.like(VENDOR_REFERENCE)
     return joined.select(
         F.lit("adyen").alias("gateway"),
-        _lookup(COUNTRY_BY_MERCHANT, F.col("merchant_account")).alias("mid_country"),
+        "mid_country",
         F.col("psp_reference").alias("gateway_txn_id"),
         F.when(from_vendor, F.col("recovery_text")).otherwise(ref).alias("merchant_reference"),
         F.lit("").alias("networktransactionid"),

@@ -12,6 +12,7 @@ from paylens.functions import fixed_values as fv
 from paylens.functions import semantics as sem
 from paylens.operators import classify as cl
 from paylens.operators.invoices import INVOICE
+from paylens.operators.sparse_keys import left_join
 from paylens.operators.subscriptions import ACCOUNT, SUBSCRIPTION
 
 # fixed values
@@ -104,11 +105,11 @@ def with_context(
     rule_decline = (F.col("gateway_error_cd") == RULE_DECLINE_CODE) & (
         F.col("trans_gateway_type_desc") == RULE_DECLINE_GATEWAY
     )
-    joined = (
-        attempts.join(inv, list(INVOICE), "left")
-        .join(subs, list(SUBSCRIPTION), "left")
-        .join(declines.withColumnRenamed("requestid", "reference_cd"), "reference_cd", "left")
-    )
+    # verifications have no invoice, and often neither subscription nor reference
+    joined = left_join(attempts, inv, list(INVOICE), ["transaction_guid"])
+    joined = left_join(joined, subs, list(SUBSCRIPTION), ["transaction_guid"])
+    declines = declines.withColumnRenamed("requestid", "reference_cd")
+    joined = left_join(joined, declines, ["reference_cd"], ["transaction_guid"])
     return joined.withColumns(
         {
             "decline_cd": F.coalesce("issuerresponsecode", "gateway_error_cd"),

@@ -49,8 +49,8 @@ def left_join(
         marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
         left = left.join(marked, keys, "left")
         here = F.when(F.col("_hot"), F.pmod(own, F.lit(salts))).otherwise(0)
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        there = right.join(marked, keys, "left").withColumn(SPREAD, F.explode(copies).cast("long")).drop("_hot")
+        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+        there = right.join(marked, keys, "left").withColumn(SPREAD, F.explode(copies)).drop("_hot")
     placed = left.withColumn(SPREAD, F.when(_incomplete(keys), nowhere).otherwise(here).cast("long"))
     placed = placed.drop("_hot") if hot is not None else placed
     return placed.join(there, [*keys, SPREAD], "left").drop(SPREAD)

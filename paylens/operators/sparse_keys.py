@@ -44,7 +44,8 @@ def left_join(
     own = F.xxhash64(*spread_by)
     # real keys have values from 0 to salts - 1
     nowhere = -1 - F.abs(own % 1_000_000)
-    here, there = F.lit(0).cast("long"), right.withColumn(SPREAD, F.lit(0).cast("long"))
+    # a constant would be taken out of the join's keys by the optimizer, so that zero is computed
+    here, there = F.lit(0).cast("long"), right.withColumn(SPREAD, F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")))
     if hot is not None:
         marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
         left = left.join(marked, keys, "left")

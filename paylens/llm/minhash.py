@@ -11,12 +11,13 @@ estimate's margin is five standard deviations.
 
 Documents with equal sets form one class beforehand; only its first row goes
 on. Inside a bucket not all pairs are made: small buckets are compared in full,
-large ones with a pivot, and then, as long as a bucket's members lie in several
-components, with ever more random pivots until it is one component or every
-member has been a pivot. A pair that several open buckets hold is made in the
-first of them only; that one stays open until the pair is compared or connected.
-So each pair of a bucket is tested or already known to be connected: no cap, and
-near-linear work on groups of near copies.
+large ones with one pivot, which connects a group of near copies. A bucket whose
+members lie in several components after that stays open. Open buckets that share
+documents form a group, and a group is compared in blocks: every two of its
+blocks of some BLOCK documents meet in one task, where signatures are estimated
+by bit counts and likely pairs confirmed on the full sets, and which hands on
+only links that connect something. So each pair of a bucket is tested or already
+known to be connected: no cap, and no row for every pair.
 
 Defined results: a null or word-less text has no shingles and links with
 nothing; a text shorter than a shingle is one shingle; rows with equal sets are
@@ -45,8 +46,8 @@ MINIMA = BANDS * ROWS
 WORDS64 = -(-MINIMA // 64)
 SMALL_BUCKET = 16
 ORDERS = 6
-#: Pivots of a large bucket in the first turn that draws them, and their growth from turn to turn.
-PIVOTS, GROWTH = 32, 16
+#: Documents of an open group's block on average, and shingles whose occurrences in two blocks are counted together.
+BLOCK, COLUMNS = 512, 4096
 #: Rows of a few numbers each that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 CHUNK = 1 << 15
@@ -201,11 +202,114 @@ def estimate(x: str, y: str):
     return (1 - differ / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-def margin(threshold: float) -> float:
-    """Five standard deviations of the estimate at the threshold."""
-    chance = 2.0**-LOW_BITS
+def least_estimate(threshold_pct: int) -> float:
+    """The threshold less five standard deviations of the estimate there."""
+    chance, threshold = 2.0**-LOW_BITS, threshold_pct / 100
     agree = threshold + (1 - threshold) * chance
-    return 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+    return threshold - 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`estimate` of every row of packed signatures x with every row of y."""
+    differ = np.zeros((len(x), len(y)), dtype=np.int32)
+    for word in range(WORDS64):
+        plane = np.zeros((len(x), len(y)), dtype=np.uint64)
+        for bit in range(LOW_BITS):
+            at = bit * WORDS64 + word
+            plane |= x[:, at, None] ^ y[None, :, at]
+        differ += np.bitwise_count(plane)
+    chance = 2.0**-LOW_BITS
+    return (1 - differ / MINIMA - chance) / (1 - chance)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y; sets are sorted and distinct."""
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    if not x or not y:
+        return out
+    flat = [np.concatenate(sets) for sets in (x, y)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    rows = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (x, y)]
+    for at in range(0, len(both), COLUMNS):
+        own = both[at : at + COLUMNS]
+        held = []
+        for values, row, sets in zip(flat, rows, (x, y), strict=True):
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            hit = own[place] == values
+            matrix = np.zeros((len(sets), len(own)), dtype=np.float32)
+            matrix[row[hit], place[hit]] = 1
+            held.append(matrix)
+        out += held[0] @ held[1].T
+    return out
+
+
+def block_links(x: dict, y: dict | None, threshold_pct: int) -> list[tuple[int, int]]:
+    """Links between two blocks, or inside one (y None), that connect components; a block is a dict of columns."""
+    other = x if y is None else y
+    na, nb = x["n_shingles"][:, None], other["n_shingles"][None, :]
+    wanted = (x["comp"][:, None] != other["comp"][None, :]) & (100 * np.minimum(na, nb) >= threshold_pct * np.maximum(na, nb))
+    if y is None:
+        wanted &= np.triu(np.ones(wanted.shape, dtype=bool), 1)
+    wanted &= estimates(x["packed"], other["packed"]) >= least_estimate(threshold_pct)
+    some, others = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    common = common_counts([x["shingles"][k] for k in some], [other["shingles"][k] for k in others]).astype(np.int64)
+    total = x["n_shingles"][some][:, None] + other["n_shingles"][others][None, :]
+    linked = wanted[np.ix_(some, others)] & (100 * common >= threshold_pct * (total - common))
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        a, b = root(int(x["comp"][some[i]])), root(int(other["comp"][others[j]]))
+        if a != b:
+            up[a] = b
+            out.append((int(x["rid"][some[i]]), int(other["rid"][others[j]])))
+    return out
+
+
+def _columns(batch: pa.RecordBatch) -> dict:
+    sets = batch.column("shingles")
+    ends = sets.offsets.to_numpy()
+    flat = sets.values.to_numpy().view(np.uint64)
+    packed = batch.column("packed").flatten().to_numpy().view(np.uint64)
+    out = {c: batch.column(c).to_numpy() for c in ("rid", "comp", "n_shingles")}
+    out["packed"] = packed.reshape(batch.num_rows, LOW_BITS * WORDS64)
+    out["shingles"] = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
+def _compared(batches, threshold_pct: int):
+    """Rows sorted by (g, i, j): blocks i and j of group g, compared when both are whole."""
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        first = rows.column("block").to_numpy() == i
+        x = _columns(rows.filter(pa.array(first)))
+        y = None if i == j else _columns(rows.filter(pa.array(~first)))
+        found = block_links(x, y, threshold_pct)
+        return pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("g", "i", "j")], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if a == b:
+                continue
+            key = tuple(keys[a].tolist())
+            if held and key != now:
+                yield whole(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole(held)
 
 
 class NearDuplicates:
@@ -220,7 +324,7 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """Confirmed links (a, b) between first rows of classes, enough to connect every component."""
-        scratch, spark = self.scratch, self.scratch.spark
+        scratch = self.scratch
         some = self.signatures.filter("n_shingles > 0")
         first = some.groupBy("set_key").agg(F.min("rid").alias("rid")).select("rid")
         nodes = scratch.table(some.join(first, "rid").select("rid", "doc_id", "text_key", "n_shingles", "bands", "packed"), "nodes")
@@ -231,66 +335,65 @@ class NearDuplicates:
         members = rows.join(shared, "h").select("h", "rid", "size", "n", (F.col("rank") == F.col("least")).alias("leads"))
         members = scratch.table(members, "members")
 
-        confirmed = tested = spark.createDataFrame([], "a long, b long")
-        labelled = members.withColumn("comp", F.col("rid"))
+        marked = members.withColumn("pivot", F.col("leads") | (F.col("n") <= SMALL_BUCKET))
+        pivots = marked.filter("pivot").select("h", F.col("rid").alias("p"), F.col("size").alias("p_size"))
         sized = F.least("size", "p_size") * 100 >= F.greatest("size", "p_size") * self.threshold_pct
-        turn = 0
-        while members.take(1):
-            done = SMALL_BUCKET if turn == 0 else PIVOTS * GROWTH ** (turn - 1)
-            chosen = F.lit(False)
-            if turn:
-                chosen = F.shiftrightunsigned(F.xxhash64("h", "rid", F.lit(turn)), 11) * F.lit(2.0**-53) < F.lit(float(done)) / F.col("n")
-                lists = members.groupBy("rid").agg(F.collect_list("h").alias("all_h"))
-                labelled = labelled.join(lists, "rid")
-            marked = labelled.withColumn("pivot", F.col("leads") | (F.col("n") <= done) | chosen)
-            of_pivot = {"rid": "p", "size": "p_size", "comp": "p_comp", "all_h": "p_all_h"}
-            pivots = marked.filter("pivot").select("h", *(F.col(c).alias(p) for c, p in of_pivot.items() if c in marked.columns))
-            new = (F.col("comp") != F.col("p_comp")) & (~F.col("pivot") | (F.col("rid") < F.col("p"))) & sized
-            if turn:
-                new &= F.array_min(F.array_intersect("all_h", "p_all_h")) == F.col("h")
-            pairs = marked.join(pivots, "h").filter(new)
-            pairs = pairs.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
-            if turn:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = scratch.table(pairs, f"pairs-{turn}")
-            tested = tested.union(pairs)
-            confirmed = confirmed.union(self._confirm(pairs, nodes, turn))
-            comps = components(scratch, confirmed, f"turn-{turn}").withColumnRenamed("node", "rid")
-            labelled = members.filter(F.col("n") > done).join(comps, "rid", "left")
-            labelled = scratch.table(labelled.withColumn("comp", F.coalesce("comp", "rid")), f"labelled-{turn}")
-            open_ = labelled.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-            labelled = scratch.table(labelled.join(open_, "h", "left_semi"), f"open-{turn}")
-            members = labelled.drop("comp")
-            turn += 1
-        return confirmed
+        new = (F.col("rid") != F.col("p")) & (~F.col("pivot") | (F.col("rid") < F.col("p"))) & sized
+        pairs = marked.join(pivots, "h").filter(new).select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b"))
+        confirmed = self._confirm(scratch.table(pairs.distinct(), "pairs"), nodes)
+        comps = components(scratch, confirmed, "pivots").withColumnRenamed("node", "rid")
+        labelled = members.filter(F.col("n") > SMALL_BUCKET).select("h", "rid").join(comps, "rid", "left")
+        labelled = scratch.table(labelled.withColumn("comp", F.coalesce("comp", "rid")), "labelled")
+        ends = labelled.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rid").alias("lead")).filter("x <> y")
+        rest = scratch.table(labelled.join(ends.select("h", "lead"), "h").select("rid", "comp", "lead"), "open")
+        return confirmed.union(self._in_blocks(rest, nodes)) if rest.take(1) else confirmed
+
+    def _in_blocks(self, rest: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links inside the groups of open buckets; `rest` has a row (rid, comp, lead) for a member of a bucket led by `lead`."""
+        scratch = self.scratch
+        groups = components(scratch, rest.select(F.col("rid").alias("a"), F.col("lead").alias("b")), "open")
+        groups = groups.select(F.col("node").alias("rid"), F.col("comp").alias("g"))
+        blocks = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        docs = groups.join(rest.select("rid", "comp").distinct(), "rid").join(blocks, "g")
+        docs = scratch.table(docs.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")), "grouped")
+        held = self._small(docs.select("rid"), "grouped-ids")
+        sets = self._held_sets(held, nodes, "grouped")
+        known = nodes.join(held, "rid", "left_semi").select("rid", "n_shingles", "packed")
+        rows = docs.join(known, "rid").join(sets, "rid").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "n_shingles", "packed", "shingles")
+        rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        return scratch.table(rows.mapInArrow(partial(_compared, threshold_pct=self.threshold_pct), "a long, b long"), "block-links")
 
     def _small(self, df: DataFrame, name: str) -> DataFrame:
         """`df` as a table, broadcast if it is small enough."""
         df = self.scratch.table(df, name)
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def _confirm(self, pairs: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-        scratch = self.scratch
-        least = self.threshold_pct / 100 - margin(self.threshold_pct / 100)
-        known = nodes.select("rid", "n_shingles", "packed")
-        x, y = known.toDF("a", "na", "pa"), known.toDF("b", "nb", "pb")
-        likely = pairs.join(x, "a").join(y, "b").filter(estimate("pa", "pb") >= least).select("a", "b", "na", "nb")
-        likely = scratch.table(likely, f"likely-{turn}")
-        held = likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct()
-        held = self._small(held, f"held-{turn}")
+    def _held_sets(self, held: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """(rid, shingles) of the rows `held` (rid), from the texts where they were not made before."""
         need = held if self.sets is None else held.join(self.sets.select("rid"), "rid", "left_anti")
         need = nodes.join(need, "rid", "left_semi").select("rid", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-        need = self._small(need, f"need-{turn}")
+        need = self._small(need, f"{name}-need")
         found = self.texts.join(need, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
         found = found.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(partial(_sets, words=self.words), "rid long, shingles array<long>")
-        fresh = scratch.table(found, f"sets-{turn}")
+        fresh = self.scratch.table(found, f"{name}-sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
-        sets = self.sets.join(held, "rid", "left_semi")
+        return self.sets.join(held, "rid", "left_semi")
+
+    def _confirm(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that share enough of their full sets."""
+        scratch = self.scratch
+        known = nodes.select("rid", "n_shingles", "packed")
+        x, y = known.toDF("a", "na", "pa"), known.toDF("b", "nb", "pb")
+        likely = pairs.join(x, "a").join(y, "b").filter(estimate("pa", "pb") >= least_estimate(self.threshold_pct)).select("a", "b", "na", "nb")
+        likely = scratch.table(likely, "likely")
+        held = self._small(likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct(), "likely-ids")
+        sets = self._held_sets(held, nodes, "likely")
         x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         common = F.size(F.array_intersect("sa", "sb"))
         exact = likely.join(x, "a").join(y, "b").withColumn("common", common)
         exact = exact.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.threshold_pct)
-        return scratch.table(exact.select("a", "b"), f"links-{turn}")
+        return scratch.table(exact.select("a", "b"), "links")
 
     def result(self) -> DataFrame:
         """Per row: doc_id, text_key, n_shingles, component_id, rid, keeper (the one row of its component that stays)."""

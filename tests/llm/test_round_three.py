@@ -133,3 +133,37 @@ def test_toxicity_equals_a_plain_classifier(spark):
     assert np.abs(gap).mean() < 0.02 and (np.abs(gap) > 0.2).mean() < 0.01
     decided = [(got[d] >= toxicity.REJECT) == (w >= toxicity.REJECT) for (d, _), w in zip(rows, want, strict=True)]
     assert np.mean(decided) > 0.99
+
+
+def near_copies(seed, groups, each, words=120):
+    """Texts around some bases, most pairs of a group somewhat below the threshold."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+        for _ in range(each):
+            own = list(base)
+            for at in rng.sample(range(words), rng.choice([3, 9, 11, 13])):
+                own[at] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("block", [40, 512])
+def test_open_groups_are_compared_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = near_copies(5, 3, 110)
+    sets = [plain.shingles(t, 2) for t in texts]
+    want = plain.near_groups(sets)
+    found = minhash.NearDuplicates(Scratch(spark, "t"), frame(spark, texts).repartition(3), 2)
+    rows = {r["doc_id"]: r["component_id"] for r in found.result().collect()}
+    assert [rows[k] for k in range(len(texts))] == want and 3 < len(set(want)) < len(texts)
+
+
+def test_block_parts_equal_plain_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 3000, size=n).astype(np.uint64)) for n in (1, 50, 700, 2000, 2000)]
+    counts = minhash.common_counts(sets, sets[1:])
+    assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
+    assert minhash.common_counts([], sets).shape == (0, 5)

@@ -44,6 +44,8 @@ from paylens.llm.tokens import together
 LENGTH, SPAN = 400, 128
 CORE = LENGTH - SPAN
 GROUP = 1_000
+#: Members of a group up to which the common prefixes of every two are held; larger groups go through the depths.
+TABLE = 64
 CHUNK_BYTES = 1 << 19
 ANCHOR_SCHEMA = "rid long, doc_id long, text_key long, n_bytes long, sha256 string, pos array<int>, core array<long>"
 AFFECTED_SCHEMA = "rid long, text string, pos array<int>, core array<long>, full array<long>"
@@ -157,6 +159,23 @@ def _contexts(batches):
         yield pa.record_batch({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
 
+def _ranked(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' places in the sorted array, and the common prefix of each place with the one before it."""
+    order = deep_shallow_order(strings)
+    shared = [0] + [common_prefix(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return rank, np.array(shared, dtype=np.int16)
+
+
+def _prefix_table(rank: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Common prefixes of every two strings: the least between their places."""
+    n = len(rank)
+    later = np.triu(np.ones((n, n), dtype=bool), 1)
+    table = np.minimum.accumulate(np.where(later, shared, np.int16(SPAN)), axis=1)
+    return np.minimum(table, table.T)[np.ix_(rank, rank)]
+
+
 def repeated_depths(left: list[bytes], right: list[bytes], low: int, high: int) -> list[tuple[int, int] | None]:
     """Least and greatest d in [low, high] for which some other member has the same window.
 
@@ -165,27 +184,28 @@ def repeated_depths(left: list[bytes], right: list[bytes], low: int, high: int)
     """
     n = len(left)
     before = [x[::-1] for x in left]
-    arrays = []
-    for strings in (before, right):
-        order = deep_shallow_order(strings)
-        shared = [0] + [common_prefix(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
-        arrays.append((np.array(order), np.array(shared)))
-    found: list[tuple[int, int] | None] = [None] * n
     if n == 2:
-        l, r = int(arrays[0][1][1]), int(arrays[1][1][1])
-        a, b = max(low, SPAN - r), min(high, l)
-        return [(a, b)] * 2 if a <= b else found
-    least, most = np.full(n, SPAN + 1), np.full(n, -1)
-    for d in range(low, high + 1):
-        classes = []
-        for (order, shared), depth in zip(arrays, (d, SPAN - d), strict=True):
-            own = np.empty(n, dtype=np.int64)
-            own[order] = np.cumsum(shared < depth)
-            classes.append(own)
-        _, inverse, counts = np.unique(classes[0] * (n + 1) + classes[1], return_inverse=True, return_counts=True)
-        long_enough = (counts[inverse] > 1)
-        least[long_enough] = np.minimum(least[long_enough], d)
-        most[long_enough] = d
+        a, b = max(low, SPAN - common_prefix(*right)), min(high, common_prefix(*before))
+        return [(a, b)] * 2 if a <= b else [None] * 2
+    sides = _ranked(before), _ranked(right)
+    if n <= TABLE:
+        first = np.maximum(low, SPAN - _prefix_table(*sides[1]))
+        last = np.minimum(high, _prefix_table(*sides[0]))
+        some = first <= last
+        np.fill_diagonal(some, False)
+        least, most = np.where(some, first, SPAN + 1).min(axis=1), np.where(some, last, -1).max(axis=1)
+    else:
+        least, most = np.full(n, SPAN + 1), np.full(n, -1)
+        # the first and last d of two members are ends of the range or follow from a common prefix
+        ends = np.unique(np.concatenate(([low, high], sides[0][1], SPAN - sides[1][1])))
+        for d in ends[(ends >= low) & (ends <= high)].tolist():
+            own = np.cumsum(sides[0][1] < d)[sides[0][0]] * (n + 1) + np.cumsum(sides[1][1] < SPAN - d)[sides[1][0]]
+            held = np.sort(own)
+            twice = held[1:][held[1:] == held[:-1]]
+            if len(twice):
+                hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+                least[hit] = np.minimum(least[hit], d)
+                most[hit] = d
     return [(a, b) if b >= 0 else None for a, b in zip(least.tolist(), most.tolist(), strict=True)]
 
 

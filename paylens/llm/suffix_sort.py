@@ -1,14 +1,15 @@
 """Deep-shallow sorting of byte strings.
 
-Multikey quicksort splits the strings byte by byte as long as their common
-prefix is shallow. Groups that still agree there share long prefixes as a rule;
-they are ordered by a blind trie, which stores only the byte at which strings
-part and so reads each new string once, however long the common prefix is.
+Multikey quicksort splits the strings word by word of WORD bytes as long as their
+common prefix is shallow. Groups that still agree there share long prefixes as a
+rule; they are ordered by a blind trie, which stores only the byte at which strings
+part and so reads each new string once, however long the common prefix is. Equal
+strings are sorted once.
 """
 
 from __future__ import annotations
 
-SHALLOW = 16
+SHALLOW, WORD = 16, 8
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -19,6 +20,14 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
     """Indices in ascending order of the strings; equal ones keep their order."""
+    equal: dict[bytes, list[int]] = {}
+    for i, s in enumerate(strings):
+        equal.setdefault(s, []).append(i)
+    distinct = list(equal)
+    return [i for k in _distinct_order(distinct, shallow) for i in equal[distinct[k]]]
+
+
+def _distinct_order(strings: list[bytes], shallow: int) -> list[int]:
     order = list(range(len(strings)))
     todo = [(0, len(order), 0)]
     while todo:
@@ -29,15 +38,15 @@ def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int
             order[low:high] = _BlindTrie(strings, order[low:high]).order()
             continue
         group = order[low:high]
-        letters = [strings[i][depth] if depth < len(strings[i]) else -1 for i in group]
+        # a string that ends inside a word is filled up: the trie tells it from one with zeros there
+        letters = [strings[i][depth : depth + WORD].ljust(WORD, b"\0") for i in group]
         pivot = sorted((letters[0], letters[len(letters) // 2], letters[-1]))[1]
         less = [i for i, c in zip(group, letters, strict=True) if c < pivot]
         same = [i for i, c in zip(group, letters, strict=True) if c == pivot]
         more = [i for i, c in zip(group, letters, strict=True) if c > pivot]
         order[low:high] = less + same + more
         todo.append((low, low + len(less), depth))
-        if pivot >= 0:
-            todo.append((low + len(less), low + len(less) + len(same), depth + 1))
+        todo.append((low + len(less), low + len(less) + len(same), depth + WORD))
         todo.append((high - len(more), high, depth))
     return order
 
@@ -60,37 +69,31 @@ class _BlindTrie:
         for i in members[1:]:
             self._add(i)
 
-    def _letter(self, i: int, depth: int) -> int:
-        s = self.strings[i]
-        return s[depth] if depth < len(s) else -1
-
     def _add(self, i: int) -> None:
-        node = self.root
+        strings, node = self.strings, self.root
+        own = strings[i]
+        n = len(own)
         while isinstance(node, _Node):
-            node = node.children.get(self._letter(i, node.depth)) or next(iter(node.children.values()))
-        own, other = self.strings[i], self.strings[node[0]]
+            at = node.depth
+            node = node.children.get(own[at] if at < n else -1) or next(iter(node.children.values()))
+        other = strings[node[0]]
         if own == other:
             node.append(i)
             return
         depth = common_prefix(own, other)
-        parent, letter, node = None, -1, self.root
+        letter = own[depth] if depth < n else -1
+        parent, branch, node = None, -1, self.root
         while isinstance(node, _Node) and node.depth < depth:
-            parent, letter = node, self._letter(i, node.depth)
-            node = node.children[letter]
+            parent, branch = node, own[node.depth]
+            node = node.children[branch]
         if isinstance(node, _Node) and node.depth == depth:
-            node.children[self._letter(i, depth)] = [i]
+            node.children[letter] = [i]
             return
-        split = _Node(depth, {self._letter(node[0] if isinstance(node, list) else self._leaf(node), depth): node, self._letter(i, depth): [i]})
+        split = _Node(depth, {other[depth] if depth < len(other) else -1: node, letter: [i]})
         if parent is None:
             self.root = split
         else:
-            parent.children[letter] = split
-
-    @staticmethod
-    def _leaf(node: object) -> int:
-        while isinstance(node, _Node):
-            node = next(iter(node.children.values()))
-        return node[0]
+            parent.children[branch] = split
 
     def order(self) -> list[int]:
         out, todo = [], [self.root]

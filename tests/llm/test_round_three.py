@@ -15,6 +15,7 @@ from paylens.llm import conversation_repair, hash_forest, metric_tree, minhash,
 from paylens.llm.common import Scratch
 from paylens.llm.line_dedup import remove_repeated_lines
 from paylens.llm.mixing import mix
+from paylens.llm.suffix_sort import deep_shallow_order
 from tests.llm import plain
 from tests.llm.test_results import frame, given, odd_texts, prose
 
@@ -167,3 +168,41 @@ def test_block_parts_equal_plain_counts():
     counts = minhash.common_counts(sets, sets[1:])
     assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
     assert minhash.common_counts([], sets).shape == (0, 5)
+
+
+@pytest.mark.parametrize("table", [2, 64, 1000])
+def test_repeated_depths_equal_a_comparison_of_every_two(monkeypatch, table):
+    """Whatever the way through the depths: short and long flanks, equal flanks, letters that look like filling."""
+    monkeypatch.setattr(substring_dedup, "TABLE", table)
+    rng = random.Random(5)
+    span = substring_dedup.SPAN
+
+    def flank():
+        return bytes(rng.choices([0, 97], weights=[1, 9], k=rng.choice([0, 1, 9, 60, 100, span])))
+
+    for _ in range(60):
+        some = [flank() for _ in range(4)]
+        left, right = zip(*((rng.choice([*some, flank()]), rng.choice([*some, flank()])) for _ in range(rng.randint(2, 40))), strict=True)
+        low = rng.choice([0, 0, 40])
+        high = rng.choice([span, 90])
+        plain = []
+        for i, (a, b) in enumerate(zip(left, right, strict=True)):
+            hits = [
+                d
+                for d in range(low, high + 1)
+                if len(a) >= d and len(b) >= span - d
+                and any(
+                    j != i and len(x) >= d and a[len(a) - d :] == x[len(x) - d :] and len(y) >= span - d and b[: span - d] == y[: span - d]
+                    for j, (x, y) in enumerate(zip(left, right, strict=True))
+                )
+            ]
+            plain.append((min(hits), max(hits)) if hits else None)
+        assert substring_dedup.repeated_depths(list(left), list(right), low, high) == plain
+
+
+def test_deep_shallow_order_with_zero_bytes_and_equal_strings():
+    rng = random.Random(6)
+    for _ in range(300):
+        strings = [bytes(rng.choices([0, 1, 97], k=rng.choice([0, 1, 7, 8, 9, 16, 17, 40]))) for _ in range(rng.randint(1, 12))]
+        strings += [s + bytes(rng.randint(0, 3)) for s in strings]
+        assert deep_shallow_order(strings) == sorted(range(len(strings)), key=lambda i: strings[i])

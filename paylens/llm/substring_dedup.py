@@ -14,8 +14,9 @@ core are sorted deep-shallow, forwards by what follows the core and backwards
 by what precedes it; in the two arrays the windows with d bytes before the
 anchor are equal where both common prefixes reach d and SPAN - d. A core with
 very many contexts is first split by ranges of d and the bytes that all windows
-of a range share, again and again, down to a single d where counting is enough:
-no group above `GROUP` contexts is ever sorted in one task.
+of a range share, again and again; contexts that agree on all bytes a range
+reaches have their spans and go on as one: no group above `GROUP` contexts is
+ever sorted in one task, and a range that all share ends at once.
 
 Texts with an exact copy are removed as a whole if they are long enough, and
 only one of them takes part in the rest.
@@ -266,36 +267,54 @@ def _cut(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
+def _halved(scratch: Scratch, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Both halves of each range of d, and the spans known from them.
+
+    All windows of a range of d share `low` bytes before the core and SPAN - `high`
+    after it, which divide a group. Members that agree on every byte that a window
+    of the range can reach share all its windows: their spans are known, and one of
+    them goes on for the others.
+    """
+    middle = F.expr("(low + high) div 2")
+    halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
+    split = large.filter("low < high").withColumn("half", F.explode(halves))
+    split = split.withColumn("low", F.col("half.a")).withColumn("high", F.col("half.b")).drop("half", "n")
+    # the least and greatest d that the flanks have room for
+    split = split.withColumn("least", F.greatest("low", SPAN - F.length("right_part"))).withColumn("most", F.least("high", F.length("left_part")))
+    split = split.filter("least <= most")
+    before, after = "substring(left_part, greatest(length(left_part) - {0}, 0) + 1, {0})", "substring(right_part, 1, {1} - {0})"
+    split = split.withColumn("g", F.xxhash64("g", "low", "high", F.expr(before.format("low")), F.expr(after.format("high", SPAN))))
+    split = split.withColumn("reach", F.xxhash64("g", F.expr(before.format("high")), F.expr(after.format("low", SPAN))))
+    split = scratch.table(split, f"split-{level}")
+    one = F.min(F.struct("rid", "pos", "single", "left_part", "right_part")).alias("one")
+    classes = scratch.table(split.groupBy("g", "low", "high", "reach").agg(F.count("*").alias("n"), one), f"classes-{level}")
+    alike = classes.filter("n > 1").select("g", "low", "high", "reach")
+    known = split.filter("single").join(alike, ["g", "low", "high", "reach"], "left_semi")
+    known = known.select("rid", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("stop"))
+    left = classes.select(
+        "g", "low", "high", "one.rid", "one.pos", (F.col("one.single") & (F.col("n") == 1)).alias("single"), "one.left_part", "one.right_part"
+    )
+    return left, scratch.table(known, f"known-{level}")
+
+
 def _group_spans(scratch: Scratch, contexts: DataFrame, group: int) -> DataFrame:
     """Spans of single contexts that equal another one's in part."""
     todo = contexts.select(F.xxhash64("core").alias("g"), F.lit(0).alias("low"), F.lit(SPAN).alias("high"), "rid", "pos", "single", "left_part", "right_part")
-    ready, level = None, 0
+    ready, known, level = None, None, 0
     keys = ["g", "low", "high"]
     while True:
         sizes = scratch.table(todo.groupBy(*keys).agg(F.count("*").alias("n"), F.max("single").alias("open")).filter("n > 1 and open"), f"sizes-{level}")
         sized = todo.join(sizes.select(*keys, "n"), keys)
         small = sized.filter(F.col("n") <= group)
         ready = small if ready is None else ready.unionByName(small)
-        large = sized.filter(F.col("n") > group)
         if not sizes.filter(F.col("n") > group).take(1):
             break
-        # all windows of a range of d share `low` bytes before the core and SPAN - `high` after it
-        middle = F.expr("(low + high) div 2")
-        halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
-        split = large.filter("low < high").withColumn("half", F.explode(halves))
-        split = split.withColumn("low", F.col("half.a")).withColumn("high", F.col("half.b"))
-        split = split.filter(f"length(left_part) >= low and length(right_part) >= {SPAN} - high")
-        before = F.expr("substring(left_part, length(left_part) - low + 1, low)")
-        after = F.expr(f"substring(right_part, 1, {SPAN} - high)")
-        split = split.withColumn("g", F.xxhash64("g", "low", "high", before, after))
-        single_depth = large.filter("low = high and single").select("rid", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("stop"))
         level += 1
-        todo = scratch.table(split.drop("half", "n"), f"split-{level}")
-        exact = scratch.table(single_depth, f"exact-{level}")
-        ready_spans = exact if level == 1 else ready_spans.union(exact)
+        todo, found = _halved(scratch, sized.filter(F.col("n") > group), level)
+        known = found if known is None else known.union(found)
     ordered = ready.repartition("g").sortWithinPartitions(*keys)
-    sorted_spans = ordered.mapInArrow(_sort_groups, "rid long, start int, stop int")
-    return sorted_spans if level == 0 else sorted_spans.union(ready_spans)
+    spans = ordered.mapInArrow(_sort_groups, "rid long, start int, stop int")
+    return spans if known is None else spans.union(known)
 
 
 def remove_repeats(scratch: Scratch, docs: DataFrame, group: int = GROUP) -> DataFrame:

@@ -61,6 +61,16 @@ register(
     ),
     orc.next_sql(),
 )
+register(
+    "attempt_details",
+    lambda s, d: _numbers_as_text(
+        cl.with_details(classified(s, d), next_rows=False).select(
+            "transaction_guid", "invoice_nbr", "txn_classify", "fraud_chk"
+        ),
+        "invoice_nbr",
+    ),
+    orc.details_sql(),
+)
 register(
     "gateway_classes_mixed",
     lambda s, d: _numbers_as_text(

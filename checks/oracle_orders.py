@@ -72,6 +72,17 @@ def ctes() -> str:
     )
 
 
+def latest_sql() -> str:
+    return ctes() + """
+SELECT transaction_guid, txn_type, trans_status_desc_2, latest_txn, verify_latest_txn FROM rk"""
+
+
+def rows_sql() -> str:
+    return ctes() + """
+SELECT transaction_guid, txn_classify, trans_status_desc_2, decline_cd, decline_desc, dt_first_attempt, attempts, attempts_no_fraud
+     , has_success, account_count FROM orders_"""
+
+
 def _counts() -> str:
     out = []
     for p, c in (("order", "account_count"), ("txn", "attempts"), ("no_fraud_txn", "attempts_no_fraud")):

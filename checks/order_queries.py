@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from checks import oracle_orders as orc
 from checks.classify_queries import SINCE, tables
 from checks.oracle_lifecycle import AS_OF
@@ -25,6 +27,23 @@ def _rows(spark, sf_dir):
     )
 
 
+register(
+    "order_latest_attempts",
+    lambda s, d: gr.latest_attempts(tables(s, d), SINCE).select(
+        "transaction_guid", "txn_type", "trans_status_desc_2",
+        F.col("latest_txn").cast("long").alias("latest_txn"),
+        F.col("verify_latest_txn").cast("long").alias("verify_latest_txn"),
+    ),
+    orc.latest_sql(),
+)
+register(
+    "order_attempts",
+    lambda s, d: _rows(s, d).select(
+        "transaction_guid", "txn_classify", "trans_status_desc_2", "decline_cd", "decline_desc",
+        "dt_first_attempt", "attempts", "attempts_no_fraud", "has_success", "account_count",
+    ),
+    orc.rows_sql(),
+)
 register("order_summary", lambda s, d: od.order_summary(_rows(s, d)), orc.summary_sql())
 register("order_top_bins", lambda s, d: od.top_order_bins(_rows(s, d), BINS), orc.bins_sql(BINS))
 register(

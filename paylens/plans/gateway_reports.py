@@ -74,6 +74,11 @@ def detailed_classes(tables: Tables, since: dt.date, as_of: dt.date) -> DataFram
     return cl.classify(cl.with_invoice_state(assigned, inv_table), hist, since, as_of)
 
 
+def latest_attempts(tables: Tables, since: dt.date) -> DataFrame:
+    """Attempts that reached a gateway, ranked from the newest."""
+    return od.with_latest(od.reached_gateway(inv.clean_attempts(tables.txn, since)))
+
+
 def orders(
     tables: Tables,
     since: dt.date,
@@ -89,6 +94,6 @@ def orders(
     declines = od.decline_texts(
         tables.requests, tables.response_texts, requests_since, merchants
     )
-    attempts = od.with_latest(od.reached_gateway(inv.clean_attempts(tables.txn, since)))
+    attempts = latest_attempts(tables, since)
     context = computed_once(od.with_context(attempts, inv_table, hist, declines))
     return od.order_rows(context, hist, since, as_of, subs_since, orders_since)

@@ -69,6 +69,13 @@ def test_detailed_classes_deal_by_account_only(spark, folder, monkeypatch):
     assert set(keys) - TABLE_JOIN == {ACCOUNT}
 
 
+def test_order_rows_deal_by_account_only(spark, folder, monkeypatch):
+    t = tables(spark, folder)
+    early = dt.date(1990, 1, 1)
+    keys = _dealt_by(spark, monkeypatch, lambda: gr.orders(t, SINCE, AS_OF, early, early, early), gr)
+    assert set(keys) - TABLE_JOIN == {ACCOUNT}
+
+
 def test_rows_that_differ_where_nobody_reads_stay_apart(spark, folder):
     t = tables(spark, folder)
     moved = t.txn.withColumns({"gateway_error_cd": F.lit("x"), "failure_type": F.lit(None).cast("string")})

@@ -10,6 +10,7 @@ from checks.classify_queries import _CLASS_COLUMNS, SINCE, tables
 from checks.oracle_lifecycle import AS_OF
 from paylens import reuse
 from paylens.operators import classify as cl
+from paylens.operators import gateway as gw
 from paylens.plans import gateway_reports as gr
 
 
@@ -76,6 +77,15 @@ def test_order_rows_deal_by_account_only(spark, folder, monkeypatch):
     assert set(keys) - TABLE_JOIN == {ACCOUNT}
 
 
+def test_categories_deal_by_account_only(spark, folder, monkeypatch):
+    t = tables(spark, folder)
+    history = gr.history(t, AS_OF)
+    keys = _dealt_by(
+        spark, monkeypatch, lambda: gw._parts(t.txn, t.lines, history, SINCE, gw.BY_WINDOW, True, None)[0], gw
+    )
+    assert set(keys) - TABLE_JOIN == {ACCOUNT}
+
+
 def test_rows_that_differ_where_nobody_reads_stay_apart(spark, folder):
     t = tables(spark, folder)
     moved = t.txn.withColumns({"gateway_error_cd": F.lit("x"), "failure_type": F.lit(None).cast("string")})

@@ -39,6 +39,8 @@ FEATURES = 6_000
 MOST_ROWS = 24_000
 FIT_TASKS = 8
 LEAST_TEXTS = 3
+#: Bytes of text whose n-grams are counted together; a byte takes some 150 on the way.
+COUNTED = 1 << 16
 #: Rows a counting task hands on together; entries of the fit that are gone through together.
 HANDED, PIECE = 1 << 16, 1 << 20
 HELD_OUT_PART, PARTS = 2, 4
@@ -90,7 +92,7 @@ def present(texts: pa.Array, wanted: np.ndarray | None) -> tuple[np.ndarray, np.
 def _count(batches):
     """(bucket, others, toxics): how many toxic and other texts of this task hold each bucket that any holds."""
     counts = np.zeros((2, BUCKETS), dtype=np.int32)
-    for batch in together(batches, "text", 1 << 20):
+    for batch in together(batches, "text", COUNTED):
         text, bucket = present(batch.column("text"), None)
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for label in (0, 1):

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from paylens.reuse import computed_once
 from paylens.sources.files import upsert
@@ -16,13 +16,51 @@ from paylens.sources.files import upsert
 DAY = "trans_dt"
 
 
+# between packed texts, and before what stands for a mark or a missing text
+_SEP, _MARK, _PACKED = "\x01", "\x02", "_packed"
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType == StringType() and f.name != DAY]
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """All texts of a row as one, which takes far fewer bytes to move than a column each."""
+
+    def marked(c: str) -> Column:
+        text = F.replace(F.col(c), F.lit(_MARK), F.lit(f"{_MARK}e"))
+        text = F.replace(text, F.lit(_SEP), F.lit(f"{_MARK}s"))
+        return F.coalesce(text, F.lit(f"{_MARK}n"))
+
+    texts = _texts(df)
+    others = [c for c in df.columns if c not in texts]
+    return df.select(*others, F.concat_ws(_SEP, *map(marked, texts)).alias(_PACKED))
+
+
+def _unpacked(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of `like` from `_packed`, texts and missing texts as they were."""
+    texts = _texts(like)
+    # split once a row, not once a column
+    parts = packed.withColumn(_PACKED, F.split(_PACKED, _SEP))
+
+    def text(c: str) -> Column:
+        part = F.get(F.col(_PACKED), F.lit(texts.index(c)))
+        plain = F.replace(part, F.lit(f"{_MARK}s"), F.lit(_SEP))
+        plain = F.replace(plain, F.lit(f"{_MARK}e"), F.lit(_MARK))
+        return F.when(part != f"{_MARK}n", plain).alias(c)
+
+    return parts.select(*[text(c) if c in texts else F.col(c) for c in like.columns])
+
+
 def write_days(txn: DataFrame, path: str) -> None:
     """Attempts as one folder a day.
 
     Rows are gathered by day first, so that a day is few files; a day above the
-    advisory partition size is spread over several tasks.
+    advisory partition size is spread over several tasks. The texts of a row are
+    packed while it is moved and sorted.
     """
-    txn.hint("rebalance", F.col(DAY)).write.partitionBy(DAY).parquet(path)
+    gathered = _packed(txn).hint("rebalance", F.col(DAY)).sortWithinPartitions(DAY)
+    _unpacked(gathered, txn).write.partitionBy(DAY).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
